@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import running_position, stored
 
 #: A coordinate is a value scaled to HIGH bits with LOW bits of a hash of the row below it, so that ties can be split.
-HIGH, LOW, BINS = 30, 31, 1024
+HIGH, LOW, BINS = 30, 31, 1 << 15
 
 
 @dataclass
@@ -55,9 +55,9 @@ def build_tree(rows: DataFrame, dims: list[str], shards: int, weight: str = "siz
     """The leaves of the tree over rows(weight, *dims), dims being coordinates from 0 to 2^61.
 
     A node with k leaves is cut where its weight divides as k//2 to the rest, along the dimension whose values
-    spread widest in it. Cuts come from histograms of BINS bins a node, refined around the cut until what can't be
-    told apart weighs under tolerance of a leaf, or one coordinate is left. All nodes of a level share each pass.
-    The driver sees at most shards * BINS sums.
+    spread widest in it. Cuts come from histograms, refined around the cut until what can't be told apart weighs
+    under tolerance of a leaf, or one coordinate is left. All nodes of a level share each pass and BINS bins, so the
+    driver sees at most BINS sums (and a few for each node) whatever the number of rows.
     """
     root = Node(shards, 0)
     level, leaves = [root], []
@@ -76,28 +76,28 @@ def build_tree(rows: DataFrame, dims: list[str], shards: int, weight: str = "siz
             n.lo, n.hi = (0, 1) if r is None else (r[f"_l{n.dim}"], r[f"_h{n.dim}"] + 1)
         todo = list(range(len(level)))
         while todo:
+            bins = max(64, BINS // len(todo))
             at, lo, step = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
             for i in todo:
                 n, own = level[i], F.col("_node") == i
-                at, lo, step = F.when(own, F.col(dims[n.dim])).otherwise(at), F.when(own, F.lit(n.lo)).otherwise(lo), F.when(own, F.lit(max(1, -(-(n.hi - n.lo) // BINS)))).otherwise(step)
+                at, lo, step = F.when(own, F.col(dims[n.dim])).otherwise(at), F.when(own, F.lit(n.lo)).otherwise(lo), F.when(own, F.lit(max(1, -(-(n.hi - n.lo) // bins)))).otherwise(step)
             binned = named.where(F.col("_node").isin(todo)).select("_node", weight, at.alias("_at"), lo.alias("_lo"), step.alias("_step"))
             bounds = reduce(lambda a, b: a | b, [(F.col("_node") == i) & (F.col("_at") >= level[i].lo) & (F.col("_at") < level[i].hi) for i in todo])
-            sums = binned.where(bounds).groupBy("_node", F.expr("(_at - _lo) div _step").alias("_bin")).agg(F.sum(weight).alias("w")).collect()
+            sums = binned.where(bounds).groupBy("_node", F.expr("(_at - _lo) div _step").alias("_bin")).agg(F.sum(weight).alias("w"), F.min("_at").alias("lo"), F.max("_at").alias("hi")).collect()
             again = []
             for i in todo:
-                n, step_n = level[i], max(1, -(-(level[i].hi - level[i].lo) // BINS))
+                n = level[i]
                 want, acc = n.total * (n.leaves // 2) / n.leaves, n.before
                 n.cut = n.hi
-                for b, w in sorted((r["_bin"], float(r["w"])) for r in sums if r["_node"] == i):
+                for low, high, w in sorted((r["lo"], r["hi"], float(r["w"])) for r in sums if r["_node"] == i):
                     if acc + w < want:
                         acc += w
                         continue
-                    edge = n.lo + b * step_n
-                    if step_n > 1 and w > tolerance * n.total / n.leaves:
-                        n.lo, n.hi, n.before = edge, min(edge + step_n, n.hi), acc
+                    if low < high and w > tolerance * n.total / n.leaves:
+                        n.lo, n.hi, n.before = low, high + 1, acc
                         again.append(i)
                     else:
-                        n.cut = edge + step_n if acc + w - want < want - acc else edge
+                        n.cut = high + 1 if acc + w - want < want - acc else low
                     break
             todo = again
         below = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def detections(texts: DataFrame) -> DataFrame:
     Of overlapping matches, one within another's span goes if its priority isn't higher; of equal spans and
     priorities the earlier rule stays. A text's matches are found and ordered in rows, so long texts don't pile up.
     """
-    given = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("word"), F.lit(f"(?<= )(?:{c})(?= )").alias("re"), F.lit(d).alias("priority")) for i, (a, b, c, d) in enumerate(rules())])
+    listed = [{"rule": i, "label": a, "word": b, "re": f"(?<= )(?:{c})(?= )", "priority": d} for i, (a, b, c, d) in enumerate(rules())]
+    given = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule: int, label: string, word: string, re: string, priority: int>>")
     hit = F.filter(given, lambda r: F.contains(F.col("norm"), r["word"]) & F.rlike(F.col("norm"), r["re"]))
     found = texts.select("k", "norm", F.explode(hit).alias("r"))
     gaps = F.transform(F.split(F.col("norm"), F.col("r.re"), -1), lambda x: _blanks(x))

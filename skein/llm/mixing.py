@@ -76,8 +76,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"), h.alias("_h"))
     rows = stored(rows.withColumn("bucket", F.expr("cast(conv(substring(_h, 1, 3), 16, 10) as int) div 4")), "mix")
     totals = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    plan = plan_targets(totals, weights, share, cap, block_words)
-    slots = schedule(plan, block_words)
+    plan = stored(plan_targets(totals, weights, share, cap, block_words), "targets")
+    slots = stored(schedule(plan, block_words), "slots")
     placed = running_position(rows, "key", "bucket", ["_h", "doc_id", "size"], "size", plan.select("key", "source_size", "target", "take", "passes", "rest")).drop("_h")
     blocks = F.explode(F.expr(f"sequence(before div {block_words}, (before + size - 1) div {block_words})")).alias("block")
     cut = placed.where("size > 0").select("key", "bucket", "place", "doc_id", "source", "size", "source_size", "target", "before", blocks)
@@ -95,3 +95,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keys = ["key", "bucket", "place", "doc_id", "size", "source_size", "target"]
     both = placed.select(*keys, F.lit(0).cast("long").alias("words")).unionByName(pieces.select(*keys, F.col("words").cast("long")))
     return both.groupBy(*keys).agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs as the mix reads them: each row as often as slots reach its first word, so 0 to cap times, columns as they were.
+
+    Whole documents only: one that the end of its source's last pass cuts is taken whole. Rows sharing an id are
+    taken alike. Empty texts hold no words of the mix; they stay once.
+    """
+    placed, _, pieces = mix_sources(docs.select(*{id_col, options.get("text_col", "text"), options.get("source_col", "source")}), id_col=id_col, **options)
+    times = pieces.where("from_word = 0").groupBy("key", "bucket", "place", "doc_id").count().groupBy("doc_id").agg(F.max("count").alias("_times"))
+    times = times.unionByName(placed.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("_times"))).groupBy("doc_id").agg(F.max("_times").alias("_times"))
+    out = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
+    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

@@ -183,3 +183,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of linked documents stays: that of the least id.
+
+    Rows with one id count as one document; of rows without id, one of each equal text stays, unless
+    a row with an id has that text.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    # Rows without id: one of each equal text, unless a row with an id has it.
+    have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("binary"), 256).alias("_h"))
+    loose = docs.where(F.col(id_col).isNull()).withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    return some.unionByName(loose.join(have, "_h", "left_anti").dropDuplicates(["_h"]).select(*docs.columns))

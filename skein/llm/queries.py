@@ -89,8 +89,8 @@ sh AS (SELECT DISTINCT doc_id, hash(s) AS s FROM g),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 cnt AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM cnt JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both.b, reach.root FROM reach JOIN both ON reach.doc_id = both.a WHERE reach.root < both.b),
+two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT two.b, reach.root FROM reach JOIN two ON reach.doc_id = two.a WHERE reach.root < two.b),
 c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",

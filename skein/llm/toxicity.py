@@ -225,3 +225,16 @@ def offending_sentences(docs: DataFrame, model: Model, *, least: float = 0.5) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, end long, score double")
+
+
+def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under least."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            s = scores(model, [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()], table)
+            yield batch.filter(pa.array(s < least))
+
+    return docs.mapInArrow(run, docs.schema)
