@@ -106,5 +106,6 @@ def repeated_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) ->
     placed, _, pieces = mix_sources(docs.select(*{id_col, options.get("text_col", "text"), options.get("source_col", "source")}), id_col=id_col, **options)
     times = pieces.where("from_word = 0").groupBy("key", "bucket", "place", "doc_id").count().groupBy("doc_id").agg(F.max("count").alias("_times"))
     times = times.unionByName(placed.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("_times"))).groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    out = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    out = held.join(times.withColumnRenamed("doc_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

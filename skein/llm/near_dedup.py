@@ -1,9 +1,9 @@
 """MinHash near-duplicate detection with b-bit signatures.
 
 Texts with equal shingle sets become one class. Classes that share a band of MinHash minima are candidates; within
-a bucket each class is compared with the bucket's most central class, then small buckets that still span several
-components are compared throughout. b-bit signatures (4 low bits a minimum, 16 lanes a long) give a
-collision-corrected estimate by bit counts; what may pass is confirmed on the full shingle sets.
+a bucket each class is compared with the bucket's most central class; what that leaves apart is compared throughout
+in small buckets, and in large ones dealt anew by differences from the consensus. b-bit signatures (4 low bits a
+minimum, 16 lanes a long) give a collision-corrected estimate by bit counts; what may pass is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import stored
@@ -140,45 +140,125 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
     return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "links")
 
 
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comps(node, root) after further links(a, b): components of the roots that links touch, put in for them."""
+    if comps is None:
+        return stored(connected_components(links), "comps")
+    side = lambda df, c: df.join(comps.toDF(c, "_r"), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    over = connected_components(side(side(links, "a"), "b")).toDF("_n", "_to")
+    old = comps.join(over, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_to", "root").alias("root"))
+    new = over.join(comps, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_to").alias("root"))
+    return stored(old.unionByName(new), "comps")
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """center, node, text_c, text_n -> size of node's set and what only one of the two sets has."""
+    for batch in batches:
+        sizes, elements, last, mine = [], [], None, None
+        for c, text_c, sn in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist()), strict=True):
+            if c != last or mine is None:
+                last, mine = c, next(shingle_sets([text_c]))
+            sizes.append(len(sn))
+            elements.append(np.setxor1d(sn, mine, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["center", "node", "size", "elements"])
+
+
+def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """crowded(bucket, center, node, root) -> links(a, b) of different roots, and (bucket, center, node) still to do.
+
+    Sets are held as what they have different from their bucket's consensus (what most of it has; found as differences
+    from center first). The nearest to the consensus is compared with all. Let a be a set's difference, a0 the
+    nearest's, and b an outer set's, one that isn't linked with the nearest. If the sets of a and b are linked, they
+    share more than (percent * a - 100 * a0) / (100 + percent) differences; so a prefix of a, the rest of a and one
+    more, holds a shared one. Rare elements make the prefix, so what many have in common hardly meets. Elements that
+    more than SMALL prefixes and outer sets have are buckets anew, smaller as all in them agree on one element more.
+    """
+    pairs = crowded.select("center", "node").distinct()
+    full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
+    parts = full.select("center", "node", "text_c", "text_n").mapInArrow(_differences, "center long, node long, size long, elements array<long>")
+    held = crowded.join(parts.dropDuplicates(["center", "node"]), ["center", "node"])
+    most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    flips = most.where("2 * count > n").groupBy("bucket").agg(F.collect_list("e").alias("flip"))
+    flip = F.coalesce("flip", F.array().cast("array<long>"))
+    held = held.join(flips, "bucket", "left").select("bucket", "node", "root", "size", F.concat(F.array_except("elements", flip), F.array_except(flip, "elements")).alias("elements"))
+    held = stored(held, "parts")
+
+    def linked_sets(x: str, y: str):
+        apart = F.size(f"elements_{x}") + F.size(f"elements_{y}") - 2 * F.size(F.array_intersect(f"elements_{x}", f"elements_{y}"))
+        both = F.col(f"size_{x}") + F.col(f"size_{y}")
+        return 100 * (both - apart) >= percent * (both + apart)
+
+    nearest = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "size", "elements"), F.struct(F.size("elements"), "node")).alias("m"))
+    nearest = nearest.select("bucket", F.col("m.node").alias("main"), F.col("m.root").alias("root_m"), F.col("m.size").alias("size_m"), F.col("m.elements").alias("elements_m"))
+    seen = held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}).join(nearest, "bucket")
+    seen = seen.withColumn("near", linked_sets("n", "m")).withColumn("outer", (F.col("root") != F.col("root_m")) & ~F.col("near"))
+    some = F.expr(f"greatest(1, ((size(elements_n) * {percent} - 100 * size(elements_m)) div {100 + percent}) + 1)")
+    seen = stored(seen.withColumn("prefix", F.size("elements_n") - some + 1).select("bucket", "node", "root", "near", "outer", "prefix", "main", "root_m", F.col("elements_n").alias("elements")), "seen")
+    links = seen.where("near and root != root_m").select(F.col("node").alias("a"), F.col("main").alias("b"))
+    each = seen.drop("elements").join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])
+    often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("outer").alias("n_outer"))
+    first = Window.partitionBy("bucket", "node").orderBy("often", "e")
+    ranked = each.join(often, ["bucket", "e"]).withColumn("ahead", F.row_number().over(first) <= F.col("prefix"))
+    ranked = ranked.where("often > 1 and n_outer > 0 and (ahead or outer)").select("bucket", "e", "node", "root", "ahead", "outer")
+    both = ranked.groupBy("bucket", "e").agg(F.count_if("ahead").alias("n_ahead"), F.count_if("outer").alias("n_outer"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n_ahead > 0 and n_outer > 0 and r0 != r1").drop("r0", "r1")
+    ranked = stored(ranked.join(both, ["bucket", "e"]), "finer")
+    small = ranked.where(F.least("n_ahead", "n_outer") <= SMALL)
+    x = small.where("ahead").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    y = small.where("outer").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    met = x.join(y, ["bucket", "e"]).where("root_a != root_b").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: held.select("bucket", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("elements").alias(f"elements_{c}"))
+    found = met.join(side("a"), ["bucket", "a"]).join(side("b"), ["bucket", "b"]).where(linked_sets("a", "b"))
+    again = ranked.where(F.least("n_ahead", "n_outer") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
+    again = again.join(again.groupBy("bucket").agg(F.min("node").alias("center")), "bucket")
+    return stored(links.unionByName(found.select("a", "b")).distinct(), "links"), stored(again, "again")
+
+
+def _components(rows: DataFrame, reps: DataFrame, whole: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) for nodes with links among those that share a bucket of rows(bucket, node)."""
+    root = F.coalesce("root", "node").alias("root")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    multi = stored(rows.join(sizes, "bucket"), "buckets")
+    multi = stored(multi.join(multi.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored")
+    leaders = multi.groupBy("bucket").agg(F.max(F.struct(F.col("score"), (-F.col("node")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("center"))
+    star = multi.join(leaders, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    links = _confirmed(star, reps, whole, percent)
+    comps = _merged(None, links)
+    rooted = multi.join(comps, "node", "left").select("bucket", "node", "n", root)
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    left = stored(rooted.join(apart, "bucket").join(leaders, "bucket"), "left")
+    few = left.where(F.col("n") <= SMALL)
+    other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    tried = few.select("bucket", F.col("node").alias("a"), "root").join(other, "bucket").where("a < b and root != root_b").select("a", "b").distinct()
+    links = _confirmed(tried, reps, whole, percent)
+    if not links.isEmpty():
+        comps = _merged(comps, links)
+    # Buckets of one center are dealt anew together.
+    crowded = left.where(F.col("n") > SMALL).select(F.col("center").alias("bucket"), "center", "node").distinct()
+    while not crowded.isEmpty():
+        links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, percent)
+        if not links.isEmpty():
+            comps = _merged(comps, links)
+    return comps
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
     Linked: 100 * intersection >= percent * union of the sets of 5-word shingles. Empty and null texts are linked
     with nothing. A row without doc_id is linked through an equal set only; its component_id is the least doc_id of
-    that, else null, and it's kept then. Rows that share a doc_id count as one document and are kept alike.
+    that, else null, and it's kept then. Rows that share a doc_id and a text are kept alike.
 
-    Work follows the number of rows: copies fold into classes first; a bucket gives each class one partner (the class
-    that meets most others in its buckets), and a second round compares all classes of different components in
-    buckets up to SMALL, and in larger ones each class outside the central component with the most central of those.
+    Work follows the number of rows: copies fold into classes first; a bucket gives each class one partner, the class
+    that meets most others in its buckets. Buckets up to SMALL whose classes are still of several components are
+    compared throughout; larger ones are dealt into finer ones by what their classes have different from most,
+    again and again until none is left, so no bucket is cut.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signatures, SIGNATURE), "signed")
     classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = stored(classes, "classes")
     rows = reps.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    multi = stored(rows.join(sizes, "bucket"), "buckets")
-    score = multi.groupBy("node").agg(F.sum("n").alias("score"))
-    multi = stored(multi.join(score, "node"), "scored")
-    central = F.max(F.struct(F.col("score"), (-F.col("node")).alias("minus"))).alias("c")
-    leaders = multi.groupBy("bucket").agg(central).select("bucket", (-F.col("c.minus")).alias("b"))
-    star = multi.select("bucket", F.col("node").alias("a")).join(leaders, "bucket").where("a != b").select("a", "b").distinct()
-    whole = texts.where("doc_id is not null")
-    links = _confirmed(star, reps, whole, percent)
-    comps = stored(connected_components(links), "comps")
-    # What the stars left apart within a bucket.
-    named = multi.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct(F.col("score"), (-F.col("node")).alias("minus"), F.col("root"))).alias("c")).where("r0 != r1")
-    left = stored(named.join(apart.select("bucket", F.col("c.root").alias("main")), "bucket").select("bucket", "node", "n", "score", "root", "main"), "left")
-    few = left.where(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    tried = few.select("bucket", F.col("node").alias("a"), "root").join(other, "bucket").where("a < b and root != root_b").select("a", "b")
-    outer = left.where((F.col("n") > SMALL) & (F.col("root") != F.col("main")))
-    second = outer.groupBy("bucket").agg(central).select("bucket", (-F.col("c.minus")).alias("b"))
-    tried = tried.unionByName(outer.select("bucket", F.col("node").alias("a")).join(second, "bucket").where("a != b").select("a", "b")).distinct()
-    more = _confirmed(tried, reps, whole, percent)
-    if not more.isEmpty():
-        comps = stored(connected_components(links.unionByName(more)), "comps")
+    comps = _components(rows, reps, texts.where("doc_id is not null"), percent)
     named = reps.select("cls", "node").join(comps, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
@@ -191,9 +271,12 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Rows with one id count as one document; of rows without id, one of each equal text stays, unless
     a row with an id has that text.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).where("kept").select("doc_id").distinct()
+    held = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    some = held.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # Rows without id: one of each equal text, unless a row with an id has it.
-    have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("binary"), 256).alias("_h"))
-    loose = docs.where(F.col(id_col).isNull()).withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    return some.unionByName(loose.join(have, "_h", "left_anti").dropDuplicates(["_h"]).select(*docs.columns))
+    digest = F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256)
+    loose = held.where("doc_id is null").withColumn("_h", digest)
+    have = held.where("doc_id is not null and _text is not null").select(digest.alias("_h")).join(loose.select("_h").distinct(), "_h", "left_semi")
+    loose = loose.join(have, "_h", "left_anti").dropDuplicates(["_h"])
+    return some.select("_row.*").unionByName(loose.select("_row.*"))

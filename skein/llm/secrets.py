@@ -56,7 +56,7 @@ def digest(spans: Column) -> Column:
     return F.sha2(F.encode(spans, "UTF-8"), 256)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = 3) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", copied: int = 3) -> tuple[DataFrame, DataFrame]:
     """(rows, by_text). rows: docs with k (digest of a text that passes the gate, else null). by_text: a row for each
     distinct such text with spans: k, n_<kind> of BASE, base, spans, live and shared (arrays of values).
 
@@ -90,10 +90,12 @@ def scan_secrets(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", *[zero(F.col(f"n_{n}")).alias(f"n_{n}") for n, *_ in BASE], digest(F.coalesce("base", F.lit(""))).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero(F.size("live")).alias("n_live"), zero(F.size("shared")).alias("n_shared"))
 
 
-def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", mark: str = "[secret]") -> DataFrame:
     """docs, all rows and columns, with live-looking values in the texts replaced by mark; examples stay."""
-    rows, by_text = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col)
+    held = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"), F.col(owner_col).alias("source"))
+    rows, by_text = scan(held)
     out = rows.join(by_text.where(F.size("live") > 0).select("k", "live"), "k", "left")
     longest = F.reverse(F.array_sort(F.transform("live", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    clean = F.aggregate(longest, F.col(text_col), lambda t, v: F.replace(t, v["v"], F.lit(mark)))
-    return out.withColumn(text_col, F.when(F.col("live").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark)))
+    text = F.when(F.col("live").isNotNull(), clean).otherwise(F.col("text"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

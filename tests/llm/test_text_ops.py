@@ -1,0 +1,167 @@
+"""Operators that treat each text apart: media, licences, fingerprints, BPE, secrets; against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from skein.llm import bpe, fingerprints, gif, licenses, secrets
+
+PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def keyed(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+def texts(odd):
+    return [(r["doc_id"], r["text"] or "") for r in odd.select("doc_id", "text").collect()]
+
+
+def test_media_round_trip(odd, none):
+    got = keyed(gif.media_digests(odd).collect())
+    assert sum(map(len, got.values())) == odd.count()
+    for i, t in texts(odd):
+        if i is None:
+            continue
+        raw = t.encode()
+        padded = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        r = got[i][0]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+    assert gif.media_digests(none).count() == 0
+
+
+def test_gif_frames_disposal_and_transparency(spark):
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    one, two = bytes([1] * 16), bytes([0, 2, 2, 0])
+    data = gif.write_gif([(one, 4), (two, 2), (two, 2)], 4, 4, palette, delays=[5, 7, 9], extras=[{"disposal": 1}, {"left": 1, "top": 1, "width": 2, "transparent": 0, "disposal": 2}, {"left": 0, "top": 0, "width": 2, "transparent": 2, "disposal": 3}])
+    w, h, frames = gif.read_gif(data)
+    assert (w, h, [f.delay_ms for f in frames]) == (4, 4, [50, 70, 90])
+    shown = list(gif.composed(w, h, frames))
+    assert shown[1][1, 1, :3].tolist() == [255, 0, 0] and shown[1][1, 2, :3].tolist() == [0, 255, 0]
+    assert shown[2][2, 2, 3] == 0 and shown[2][0, 0, :3].tolist() == [0, 0, 0] and shown[2][0, 1, :3].tolist() == [255, 0, 0]
+    media = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"junk")), (3, None)], "media_id long, media binary")
+    rows = sorted(gif.frames(media).collect(), key=lambda r: (r["media_id"], r["frame"] or 0))
+    assert [(r["media_id"], r["frame"], r["start_ms"]) for r in rows] == [(1, 0, 0), (1, 1, 50), (1, 2, 120), (2, None, None), (3, None, None)]
+    assert rows[0]["histogram"][48] == 16 and rows[3]["error"]
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"ab" * 5000, bytes(range(256)) * 40, b"\0" * 20000])
+def test_lzw(data):
+    assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+
+
+def test_bpe_equals_the_library(odd, none):
+    own = Tokenizer.from_file(PATH)
+    own.no_padding()
+    own.no_truncation()
+    got = keyed(bpe.coded_documents(odd, PATH).collect())
+    for i, t in texts(odd):
+        if i is None:
+            continue
+        ids = own.encode(t, add_special_tokens=False).ids
+        r = got[i][0]
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.coded_documents(none, PATH).count() == 0
+
+
+def test_bpe_stream_is_stable_and_bounded():
+    own, lib = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+    for text in ("hello world it's <|endoftext|> 12345 " * 30, "x" * 3000, "a1b2" * 400 + " " * 900 + "end", "é数据😀" * 300):
+        for size in (1, 7, 64):
+            chunks = [text[i : i + size] for i in range(0, len(text), size)]
+            assert list(own.encode_stream(chunks)) == lib.encode(text, add_special_tokens=False).ids
+    assert own.decode([own.single[0xC3]]) == "�"
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+
+
+def test_secrets_base(odd, none):
+    got = keyed(secrets.scan_secrets(odd).collect())
+    for i, t in texts(odd):
+        if i is None:
+            continue
+        spans = sorted(base_spans(t))
+        names = ("assign", "access", "hex")
+        line = [f"{names[k]}:{s}:{e}" for s, k, e in spans]
+        r = got[i][0]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert set(line) <= set(r["spans"].split(","))
+    assert got[88][0]["n_assign"] == 2 + 1 and "stripe:" in got[88][0]["spans"]
+    assert secrets.scan_secrets(none).count() == 0
+
+
+def test_secrets_owners_and_redaction(spark):
+    key = "q7Zr8Kp2Lm9Xv4Tb"
+    rows = [(i, f"token = {'sharedAcross12ab' if i < 6 else key} tail", f"owner{i}", "kept", "kept too") for i in range(7)] + [(9, None, None, "kept", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k string, live string")
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    assert (found[0]["n_live"], found[0]["n_shared"], found[6]["n_live"]) == (0, 1, 1)
+    out = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
+    assert key not in out[6]["text"] and "sharedAcross12ab" in out[0]["text"] and out[9]["text"] is None
+    assert {r["k"] for r in out.values()} == {"kept"} and out[6]["live"] == "kept too"
+
+
+PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+
+
+def test_licenses_base(odd, none):
+    got = keyed(licenses.scan_licenses(odd).collect())
+    for i, t in texts(odd):
+        if i is None:
+            continue
+        words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        spots = [(j, name) for p, name in PHRASES.items() for j in range(len(words)) if tuple(words[j : j + len(p)]) == p]
+        r = got[i][0]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(spots)), i
+        assert (r["first_word"], r["last_word"]) == ((min(spots)[0], max(spots)[0]) if spots else (None, None))
+        assert r["base_labels"] == ",".join(sorted({n for _, n in spots})) and 0 <= r["score"] <= 1
+        assert {n for _, n in spots} <= set(r["labels"].split(",")) | {""}
+    assert "mit" in got[90][0]["labels"].split(",") and "apache-2.0" in got[91][0]["labels"].split(",")
+    assert got[60][0]["labels"] == "" and got[60][0]["score"] == 0
+    assert licenses.scan_licenses(none).count() == 0
+
+
+def test_licenses_suppression(spark):
+    texts = spark.createDataFrame([("a", " licensed under the apache license version 2 0 "), ("b", " gnu lesser general public license version 2 1 ")], "k string, norm string")
+    found = {}
+    for r in licenses.detections(texts).collect():
+        found.setdefault(r["k"], set()).add((r["label"], r["start"], r["end"]))
+    assert ("apache-2.0", 3, 8) in found["a"] and not any(x[0] == "apache" for x in found["a"])
+    assert found["b"] == {("lgpl-2.1", 0, 8)}
+
+
+def test_fingerprints(odd, none, spark):
+    got = keyed(fingerprints.fingerprints(odd, bucket_rows=8).collect())
+    assert sum(map(len, got.values())) == odd.count()
+    plain = [(i, t) for i, t in texts(odd) if i is not None and i < 5] + [(10**6, "last")]
+    docs = spark.createDataFrame(plain, "doc_id long, text string")
+    order = sorted(plain)
+    for rows in (1, 2, 256):
+        found = {r["doc_id"]: r for r in fingerprints.fingerprints(docs, bucket_rows=rows).collect()}
+        for j, (i, t) in enumerate(order):
+            nxt = order[(j + 1) % len(order)][1]
+            edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+            assert found[i]["n_chars"] == len(t) and found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert 0 <= found[i]["near_edited"] <= 1 and 0 <= found[i]["near_next"] <= 1
+    assert got[60][0]["fingerprint"] == got[61][0]["fingerprint"] and got[60][0]["near_next"] == 1
+    assert got[60][0]["fingerprint"] != got[70][0]["fingerprint"] and got[69][0]["near_next"] > 0.5
+    assert fingerprints.fingerprints(none).count() == 0
+    a, b = fingerprints.Prefix("abcabcabd" * 50), fingerprints.Prefix("xabcabcabd" * 50)
+    assert a.equal(0, b, 1, 9) and not a.equal(0, b, 0, 1) and a.extension(0, a, 9) == 441 and a.extension(0, b, 1) == 9
