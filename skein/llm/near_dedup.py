@@ -203,9 +203,10 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     both = ranked.groupBy("bucket", "e").agg(F.count_if("ahead").alias("n_ahead"), F.count_if("outer").alias("n_outer"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n_ahead > 0 and n_outer > 0 and r0 != r1").drop("r0", "r1")
     ranked = stored(ranked.join(both, ["bucket", "e"]), "finer")
     small = ranked.where(F.least("n_ahead", "n_outer") <= SMALL)
-    x = small.where("ahead").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    y = small.where("outer").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    met = x.join(y, ["bucket", "e"]).where("root_a != root_b").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = small.where("ahead").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("outer").alias("outer_a"))
+    y = small.where("outer").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("ahead").alias("ahead_b"))
+    # Prefixes of two outer sets must meet; one of two that isn't outer may meet any element of the other.
+    met = x.join(y, ["bucket", "e"]).where("root_a != root_b and (ahead_b or not outer_a)").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: held.select("bucket", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("elements").alias(f"elements_{c}"))
     found = met.join(side("a"), ["bucket", "a"]).join(side("b"), ["bucket", "b"]).where(linked_sets("a", "b"))
     again = ranked.where(F.least("n_ahead", "n_outer") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
@@ -232,8 +233,10 @@ def _components(rows: DataFrame, reps: DataFrame, whole: DataFrame, percent: int
     links = _confirmed(tried, reps, whole, percent)
     if not links.isEmpty():
         comps = _merged(comps, links)
-    # Buckets of one center are dealt anew together.
-    crowded = left.where(F.col("n") > SMALL).select(F.col("center").alias("bucket"), "center", "node").distinct()
+    # Buckets that share classes are dealt anew together, so that a pair isn't met again in each.
+    crowded = left.where(F.col("n") > SMALL).select("center", "node").distinct()
+    joint = crowded.join(crowded.groupBy("node").agg(F.min("center").alias("bucket")), "node").groupBy("center").agg(F.min("bucket").alias("bucket"))
+    crowded = crowded.join(joint, "center").groupBy("bucket", "node").agg(F.min("bucket").alias("center"))
     while not crowded.isEmpty():
         links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, percent)
         if not links.isEmpty():
