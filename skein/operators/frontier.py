@@ -20,15 +20,11 @@ def with_keys(sources: DataFrame, url: str = "url") -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str = "unique_key", order: str = "seq") -> DataFrame:
-    """The first row of each key. Aggregates before the shuffle, so a key that a third of the rows has costs little."""
-    rest = [c for c in rows.columns if c not in (key, order)]
-    kept = rows.groupBy(key).agg(F.min(F.struct(F.col(order), *[F.struct(F.col(c)).alias(c) for c in rest])).alias("_r")) if _ordered(rows, rest) else rows.groupBy(key).agg(F.min_by(F.struct(order, *rest), F.col(order)).alias("_r"))
-    return kept.select(*[F.col(key) if c == key else (F.col(f"_r.{c}") if not _ordered(rows, rest) or c == order else F.col(f"_r.{c}.{c}")).alias(c) for c in rows.columns])
-
-
-def _ordered(rows: DataFrame, rest: list[str]) -> bool:
-    """Whether all columns can be compared, so that ties of order are settled by the other columns."""
-    return not any("map<" in t or t == "variant" for n, t in rows.dtypes if n in rest)
+    """The first row of each key by order, which no two rows of a key share. Aggregates before the shuffle, so a key that
+    a third of the rows has costs little."""
+    rest = [c for c in rows.columns if c != key]
+    kept = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return kept.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
 def request_list(sources: DataFrame, *, keep_duplicates: bool = False) -> DataFrame:
