@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if sql is not None:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    """rows as the body of a WITH clause."""
+
+    def lit(x: object) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        return str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"
+
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+def _load() -> None:
+    from skein.plans import crawl_queries, data_queries, text_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
