@@ -32,6 +32,8 @@ PLACE = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(SHINGLE)],
 SLACK = 0.17
 #: Buckets up to this many classes are compared throughout if their components differ.
 SMALL = 64
+#: Up to this many ids are broadcast (8 bytes each), more are joined by a shuffle.
+FEW_IDS = 200_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -167,11 +169,13 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     """crowded(bucket, center, node, root) -> links(a, b) of different roots, and (bucket, center, node) still to do.
 
     Sets are held as what they have different from their bucket's consensus (what most of it has; found as differences
-    from center first). The nearest to the consensus is compared with all. Let a be a set's difference, a0 the
-    nearest's, and b an outer set's, one that isn't linked with the nearest. If the sets of a and b are linked, they
-    share more than (percent * a - 100 * a0) / (100 + percent) differences; so a prefix of a, the rest of a and one
-    more, holds a shared one. Rare elements make the prefix, so what many have in common hardly meets. Elements that
-    more than SMALL prefixes and outer sets have are buckets anew, smaller as all in them agree on one element more.
+    from center first). The nearest to the consensus is compared with all; a set is apart if it's neither linked with
+    that nor in its component. Of two sets of different components one is apart. Let a be the other one's differences
+    and a0 the nearest's: if they are linked, they share more than (percent * a - 100 * a0) / (100 + percent) of a, and
+    more than percent * a / (100 + percent) if the one apart is far, i.e. beyond the threshold from the consensus, too.
+    So a prefix of a, the rest of a and one more, holds a shared one. Rare elements make the prefix, so what many have
+    in common hardly meets. Elements that more than SMALL prefixes and sets apart have are buckets anew, smaller as all
+    in them agree on one element more.
     """
     pairs = crowded.select("center", "node").distinct()
     full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
@@ -191,35 +195,46 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     nearest = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "size", "elements"), F.struct(F.size("elements"), "node")).alias("m"))
     nearest = nearest.select("bucket", F.col("m.node").alias("main"), F.col("m.root").alias("root_m"), F.col("m.size").alias("size_m"), F.col("m.elements").alias("elements_m"))
     seen = held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}).join(nearest, "bucket")
-    seen = seen.withColumn("near", linked_sets("n", "m")).withColumn("outer", (F.col("root") != F.col("root_m")) & ~F.col("near"))
-    some = F.expr(f"greatest(1, ((size(elements_n) * {percent} - 100 * size(elements_m)) div {100 + percent}) + 1)")
-    seen = stored(seen.withColumn("prefix", F.size("elements_n") - some + 1).select("bucket", "node", "root", "near", "outer", "prefix", "main", "root_m", F.col("elements_n").alias("elements")), "seen")
+    seen = seen.withColumn("near", linked_sets("n", "m")).withColumn("apart", (F.col("root") != F.col("root_m")) & ~F.col("near"))
+    far = F.expr(f"{100 + percent} * size(elements_n) > {100 - percent} * (size_n + size_m + size(elements_m))")
+    least = lambda less: F.expr(f"size(elements_n) - greatest(1, ((size(elements_n) * {percent} - {less}) div {100 + percent}) + 1) + 1")
+    seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": least("0"), "longer": least("100 * size(elements_m)")})
+    seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "main", "root_m"), "seen")
     links = seen.where("near and root != root_m").select(F.col("node").alias("a"), F.col("main").alias("b"))
-    each = seen.drop("elements").join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])
-    often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("outer").alias("n_outer"))
-    first = Window.partitionBy("bucket", "node").orderBy("often", "e")
-    ranked = each.join(often, ["bucket", "e"]).withColumn("ahead", F.row_number().over(first) <= F.col("prefix"))
-    ranked = ranked.where("often > 1 and n_outer > 0 and (ahead or outer)").select("bucket", "e", "node", "root", "ahead", "outer")
-    both = ranked.groupBy("bucket", "e").agg(F.count_if("ahead").alias("n_ahead"), F.count_if("outer").alias("n_outer"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n_ahead > 0 and n_outer > 0 and r0 != r1").drop("r0", "r1")
+    each = seen.join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])
+    often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("far").alias("n_far"), F.count_if("odd").alias("n_odd"))
+    order = F.row_number().over(Window.partitionBy("bucket", "node").orderBy("often", "e"))
+    ranked = each.join(often, ["bucket", "e"]).withColumn("_n", order)
+    ranked = ranked.withColumn("ahead", (F.col("_n") <= F.col("prefix")) & (F.col("n_far") > 0)).withColumn("wide", (F.col("_n") <= F.col("longer")) & (F.col("n_odd") > 0))
+    ranked = ranked.where("often > 1 and (ahead or wide or far or odd)").select("bucket", "e", "node", "root", "ahead", "wide", "far", "odd")
+    counts = [F.count_if(c).alias(f"n_{c}") for c in ("ahead", "wide", "far", "odd")]
+    both = ranked.groupBy("bucket", "e").agg(*counts, F.min("root").alias("r0"), F.max("root").alias("r1"), F.bit_xor(F.xxhash64("node", "ahead", "wide")).alias("who"))
+    both = both.withColumn("most", F.greatest(F.least("n_ahead", "n_far"), F.least("n_wide", "n_odd"))).where("most > 0 and r0 != r1")
+    # One edit makes several elements that the same sets have: one of them stands for all.
+    both = both.groupBy("bucket", "who", "n_ahead", "n_wide", "n_far", "n_odd", "most").agg(F.min("e").alias("e")).select("bucket", "e", "most")
     ranked = stored(ranked.join(both, ["bucket", "e"]), "finer")
-    small = ranked.where(F.least("n_ahead", "n_outer") <= SMALL)
-    x = small.where("ahead").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("outer").alias("outer_a"))
-    y = small.where("outer").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("ahead").alias("ahead_b"))
-    # Prefixes of two outer sets must meet; one of two that isn't outer may meet any element of the other.
-    met = x.join(y, ["bucket", "e"]).where("root_a != root_b and (ahead_b or not outer_a)").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small = ranked.where(F.col("most") <= SMALL)
+    x = small.where("ahead or wide").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("ahead").alias("ahead_a"), F.col("wide").alias("wide_a"))
+    y = small.where("far or odd").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"), "far", "odd", F.col("ahead").alias("ahead_b"))
+    # Prefixes of two far sets must meet; one of a set that isn't far may meet any element of a far one.
+    meets = "root_a != root_b and ((far and ahead_a and (ahead_b or not far_a)) or (odd and wide_a))"
+    met = x.join(y, ["bucket", "e"]).where(meets).select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: held.select("bucket", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("elements").alias(f"elements_{c}"))
     found = met.join(side("a"), ["bucket", "a"]).join(side("b"), ["bucket", "b"]).where(linked_sets("a", "b"))
-    again = ranked.where(F.least("n_ahead", "n_outer") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
+    again = ranked.where(F.col("most") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
     again = again.join(again.groupBy("bucket").agg(F.min("node").alias("center")), "bucket")
     return stored(links.unionByName(found.select("a", "b")).distinct(), "links"), stored(again, "again")
 
 
-def _components(rows: DataFrame, reps: DataFrame, whole: DataFrame, percent: int) -> DataFrame | None:
+def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) for nodes with links among those that share a bucket of rows(bucket, node)."""
     root = F.coalesce("root", "node").alias("root")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     multi = stored(rows.join(sizes, "bucket"), "buckets")
     multi = stored(multi.join(multi.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored")
+    nodes = multi.select(F.col("node").alias("doc_id")).distinct()
+    # Texts that will be compared are picked out once, so whole texts are shuffled once at most.
+    whole = stored(texts.join(F.broadcast(nodes) if nodes.count() <= FEW_IDS else nodes, "doc_id", "left_semi"), "texts")
     leaders = multi.groupBy("bucket").agg(F.max(F.struct(F.col("score"), (-F.col("node")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("center"))
     star = multi.join(leaders, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     links = _confirmed(star, reps, whole, percent)
@@ -235,8 +250,10 @@ def _components(rows: DataFrame, reps: DataFrame, whole: DataFrame, percent: int
         comps = _merged(comps, links)
     # Buckets that share classes are dealt anew together, so that a pair isn't met again in each.
     crowded = left.where(F.col("n") > SMALL).select("center", "node").distinct()
-    joint = crowded.join(crowded.groupBy("node").agg(F.min("center").alias("bucket")), "node").groupBy("center").agg(F.min("bucket").alias("bucket"))
-    crowded = crowded.join(joint, "center").groupBy("bucket", "node").agg(F.min("bucket").alias("center"))
+    for _ in range(2):
+        joint = crowded.join(crowded.groupBy("node").agg(F.min("center").alias("to")), "node").groupBy("center").agg(F.min("to").alias("to"))
+        crowded = stored(crowded.join(joint, "center").select(F.col("to").alias("center"), "node").distinct(), "crowded")
+    crowded = crowded.select(F.col("center").alias("bucket"), "center", "node")
     while not crowded.isEmpty():
         links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, percent)
         if not links.isEmpty():
