@@ -20,7 +20,7 @@ _LETTER[65:91] = _LETTER[97:123]
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 TABLE_BITS = 18
-#: Bounds of the labelled sample that the driver fits on.
+#: Bounds of the labelled sample that one task fits on.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 
 
@@ -193,9 +193,17 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic
     if not any(picked):
         return Model(np.empty(0, np.uint64), np.empty(0), -8.0)
     ids = docs.sparkSession.createDataFrame([tuple(r) for p in picked for r in p], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most max_toxic + max_clean
     clean = max(1.0, n.get(0, 0) / max(1, len(picked[1]))) / max(1.0, n.get(1, 0) / max(1, len(picked[0])))
-    return fit([(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], np.array([r["y"] for r in rows]), clean)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most max_toxic + max_clean ids
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, y, t or "") for b in batches for i, t, y in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y")], strict=True))
+        m = fit([t.encode("utf-8", "surrogatepass") for _, _, t in rows], np.array([y for _, y, _ in rows]), clean)
+        yield pa.RecordBatch.from_arrays([pa.array([m.keys.view(np.int64)], pa.list_(pa.int64())), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.bias])], names=["keys", "weights", "bias"])
+
+    # The bounded sample is fitted in one task, so the driver only holds the model.
+    r = sample.repartition(1).mapInArrow(learn, "keys array<long>, weights array<double>, bias double").first()
+    return Model(np.array(r["keys"], np.int64).view(np.uint64), np.array(r["weights"], np.float64), r["bias"])
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
