@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,8 +42,8 @@ def similarity(a: list[str] | None, b: list[str] | None) -> float:
     """Share of path segments in the same place that are much alike (over 0.8); other hosts: 0. Lists as of url_components."""
     if a is None or b is None or a[0] != b[0]:
         return 0.0
-    n = max(len(a), len(b)) - 1
-    return sum(jaro_winkler(x, y) > 0.8 for x, y in zip(a[1:], b[1:])) / n if n else 1.0  # noqa: B905
+    pairs = list(zip_longest(a[1:], b[1:], fillvalue=""))
+    return sum(jaro_winkler(x, y) > 0.8 for x, y in pairs) / len(pairs) if pairs else 1.0
 
 
 def url_similarity(a: Column | str, b: Column | str) -> Column:

@@ -138,14 +138,7 @@ def social_handles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.social_handles("html").alias("s")).select("page_id", "s.*")
 
 
-@query()
-def page_content(spark, sf_dir):
-    """Text, links and contacts of every page: the comparable measure of throughput."""
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.length(H.html_to_text("html")).alias("chars"), F.size(H.extract_links("html", "url")).alias("links"), F.size(H.social_handles("html")["phonesUncertain"]).alias("phones"))
-
-
-@query("SELECT page_id, [regexp_extract(html, '<h1>([^<]*)</h1>', 1)] AS heads FROM pages WHERE contains(html, '<h1>')")
+@query("SELECT page_id, [replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] AS heads FROM pages WHERE contains(html, '<h1>')")
 def css_select(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<h1>"))).select("page_id", H.select_text("html", "article > h1").alias("heads"))
 
@@ -158,7 +151,7 @@ def open_graph(spark, sf_dir):
     return inline(spark, "html string", [(_OG,)]).select(H.open_graph("html", (("x:y", "own"),)).alias("og"))
 
 
-_SIMILAR = [(1, "http://a.com/catalog/1", "http://a.com/catalogue/1", 1.0), (2, "http://a.com/x/1", "http://b.com/x/1", 0.0), (3, "http://a.com/abc/zzz", "http://a.com/abc/qqq", 0.5), (4, "http://a.com/", "http://a.com/", 1.0)]
+_SIMILAR = [(1, "http://a.com/catalog/1", "http://a.com/catalogue/1", 1.0), (2, "http://a.com/x/1", "http://b.com/x/1", 0.0), (3, "http://a.com/abc/zzz", "http://a.com/abc/qqq", 2 / 3), (4, "http://a.com/", "http://a.com/", 1.0)]
 
 
 @query("WITH " + values("t", "id, a, b, s", _SIMILAR) + " SELECT id, s::DOUBLE AS similarity FROM t")
