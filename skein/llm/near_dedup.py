@@ -169,13 +169,15 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     """crowded(bucket, center, node, root) -> links(a, b) of different roots, and (bucket, center, node) still to do.
 
     Sets are held as what they have different from their bucket's consensus (what most of it has; found as differences
-    from center first). The nearest to the consensus is compared with all; a set is apart if it's neither linked with
-    that nor in its component. Of two sets of different components one is apart. Let a be the other one's differences
-    and a0 the nearest's: if they are linked, they share more than (percent * a - 100 * a0) / (100 + percent) of a, and
-    more than percent * a / (100 + percent) if the one apart is far, i.e. beyond the threshold from the consensus, too.
-    So a prefix of a, the rest of a and one more, holds a shared one. Rare elements make the prefix, so what many have
-    in common hardly meets. Elements that more than SMALL prefixes and sets apart have are buckets anew, smaller as all
-    in them agree on one element more.
+    from center first). Let a set's excess be (100 + percent) * its differences - (100 - percent) * its size. Two sets
+    whose excesses add up to 0 or less are linked, even if they share no difference. The main set, that of least excess,
+    is compared with all, so it's linked with both of any such two; a set is apart if it's neither linked with that nor
+    in its component. Of two sets of different components one is apart. If they are linked, they share more than
+    (the other one's excess - the main set's) / (200 + 2 * percent) differences, one at least, and more than
+    percent * a / (100 + percent) of the other one's a if the one apart is far, i.e. beyond the threshold from the
+    consensus, too. So a prefix of a, the rest of a and one more, holds a shared one. Rare elements make the prefix, so
+    what many have in common hardly meets. Elements that more than SMALL prefixes and sets apart have are buckets anew,
+    smaller as all in them agree on one element more.
     """
     pairs = crowded.select("center", "node").distinct()
     full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
@@ -192,13 +194,15 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
         both = F.col(f"size_{x}") + F.col(f"size_{y}")
         return 100 * (both - apart) >= percent * (both + apart)
 
-    nearest = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "size", "elements"), F.struct(F.size("elements"), "node")).alias("m"))
-    nearest = nearest.select("bucket", F.col("m.node").alias("main"), F.col("m.root").alias("root_m"), F.col("m.size").alias("size_m"), F.col("m.elements").alias("elements_m"))
-    seen = held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}).join(nearest, "bucket")
+    excess = lambda x: f"{100 + percent} * size(elements{x}) - {100 - percent} * size{x}"
+    mains = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "size", "elements"), F.struct(F.expr(excess("")), "node")).alias("m"))
+    mains = mains.select("bucket", F.col("m.node").alias("main"), F.col("m.root").alias("root_m"), F.col("m.size").alias("size_m"), F.col("m.elements").alias("elements_m"))
+    seen = held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}).join(mains, "bucket")
     seen = seen.withColumn("near", linked_sets("n", "m")).withColumn("apart", (F.col("root") != F.col("root_m")) & ~F.col("near"))
     far = F.expr(f"{100 + percent} * size(elements_n) > {100 - percent} * (size_n + size_m + size(elements_m))")
-    least = lambda less: F.expr(f"size(elements_n) - greatest(1, ((size(elements_n) * {percent} - {less}) div {100 + percent}) + 1) + 1")
-    seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": least("0"), "longer": least("100 * size(elements_m)")})
+    ahead = F.expr(f"size(elements_n) - (size(elements_n) * {percent} div {100 + percent})")
+    wide = F.expr(f"size(elements_n) - (({excess('_n')} - ({excess('_m')})) div {200 + 2 * percent})")
+    seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": ahead, "longer": wide})
     seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "main", "root_m"), "seen")
     links = seen.where("near and root != root_m").select(F.col("node").alias("a"), F.col("main").alias("b"))
     each = seen.join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])

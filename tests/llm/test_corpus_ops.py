@@ -128,6 +128,46 @@ def test_near_duplicates_in_crowded_buckets(spark, seed):
     assert got == components(rows)
 
 
+def finer_components(spark, rows):
+    """{doc_id: component} by _finer alone, all rows in one bucket, each of its own component at first."""
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    left, links = spark.createDataFrame([(1, rows[0][0], i) for i, _ in rows], "bucket long, center long, node long"), set()
+    while not left.isEmpty():
+        root = {i: i for i, _ in rows} | ({r["node"]: r["root"] for r in near_dedup.connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()} if links else {})
+        now = spark.createDataFrame([(r["bucket"], r["center"], r["node"], root[r["node"]]) for r in left.collect()], "bucket long, center long, node long, root long")
+        found, left = near_dedup._finer(now, whole, 85)
+        links |= {(r["a"], r["b"]) for r in found.collect()}
+    root = {i: i for i, _ in rows}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_finer_meets_sets_that_share_no_difference(spark):
+    """One set lacks the head of a text, another has a tail of its own: they are linked, neither with one that lacks the end."""
+    base = [f"w{k}" for k in range(1004)]
+    rows = [(0, " ".join(base[90:])), (1, " ".join(base[:-69])), (2, " ".join(base + [f"own{k}" for k in range(70)]))]
+    for i in range(3, 13):
+        rows.append((i, " ".join(base[: 80 * i - 100] + [f"f{i}x{k}" for k in range(100)] + base[80 * i :])))
+    want = components(rows)
+    assert want[0] == want[2] == 0
+    assert finer_components(spark, rows) == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_finer_with_deletions_and_insertions(spark, seed):
+    rng = random.Random(seed)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            at, n = rng.choice([0, len(w), rng.randrange(len(w))]), rng.randint(1, 22)
+            w[at : at + rng.choice([0, n])] = [f"e{rng.randrange(3)}x{k}" for k in range(rng.choice([0, n]))]
+        rows.append((i, " ".join(w)))
+    assert finer_components(spark, rows) == components(rows)
+
+
 def test_bbit_estimate(spark):
     rng = random.Random(3)
     a = [f"w{rng.randrange(9000)}" for _ in range(800)]
