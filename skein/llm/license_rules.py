@@ -84,6 +84,8 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "unicode-dfs-2016": ("unicode dfs 2016", ("unicode license agreement",)),
     "openrail": ("openrail", ("open rail m license", "responsible ai license")),
 }
+#: Keywords of full names: of these, the first that is in the pattern.
+FULL_WORDS = ("mit no attribution", "gnu gpl", "licen")
 _CC = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
 _HINTS = (
     ("permissive-grant", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 3),
@@ -118,7 +120,7 @@ def rules() -> list[tuple[str, str, str, int]]:
         out.append((label, "spdx", f"spdx license identifier {short}", 4))
         out.append((label, "license", f"licensed under (?:the )?(?:terms of the )?{short}(?: license)?", 3))
         out.append((label, "license", f"license {short}", 2))
-        out += [(label, "licen", p, 3) for p in full]
+        out += [(label, next(w for w in FULL_WORDS if w in p), p, 3) for p in full]
     for tail, name in _CC.items():
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{tail.replace(' ', '-')}-{version.replace(' ', '.')}"
@@ -130,5 +132,6 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + list(_HINTS)
 
 
+_BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Any match of a rule or base phrase makes this match the text as it is, letters in either case.
-GATE = "licen|reserved|copyright|public|spdx|permission|warrant|redistribut|commons|proprietary|cc0|cc[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+by"
+GATE = f"licen|reserved|copyright|public|spdx|permission|warrant|redistribut|commons|proprietary|cc0|cc{_BREAKS}by|gnu{_BREAKS}gpl|mit{_BREAKS}no{_BREAKS}attribution"

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from skein.llm import bpe, fingerprints, gif, licenses, secrets
+from skein.llm import bpe, fingerprints, gif, license_rules, licenses, secrets
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -147,6 +147,52 @@ def test_licenses_suppression(spark):
     assert found["b"] == {("lgpl-2.1", 0, 8)}
 
 
+def samples(pattern):
+    """Texts that a pattern of the rules matches: all its alternatives, with and without what is optional."""
+    top, depth, parts = [], 0, [""]
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    if len(parts) > 1:
+        return [s for p in parts for s in samples(p)]
+    out, rest = [""], pattern
+    while rest:
+        if rest.startswith("(?:"):
+            depth, end = 0, 0
+            while True:
+                depth += (rest[end] == "(") - (rest[end] == ")")
+                end += 1
+                if not depth:
+                    break
+            top = samples(rest[3 : end - 1])
+        elif m := re.match(r"\[(.)[^]]*\](?:\{(\d)\})?", rest):
+            top, end = [m[1] * int(m[2] or 1)], m.end()
+        elif rest.startswith("\\S+"):
+            top, end = ["x"], 3
+        else:
+            top, end = [rest[0]], 1
+        if rest[end : end + 1] == "?":
+            top, end = [*top, ""], end + 1
+        out, rest = [a + b for a in out for b in top], rest[end:]
+    return out
+
+
+def test_license_keywords_and_gate_hold_for_every_rule():
+    for label, word, pattern, _ in license_rules.rules():
+        for text in samples(pattern):
+            assert re.fullmatch(pattern, text), (label, pattern, text)
+            assert word in text and re.search(license_rules.GATE, text, re.I) and re.search(license_rules.GATE, text.upper().replace(" ", " -\n"), re.I), (label, word, text)
+
+
+def test_licenses_without_the_word_license(spark):
+    docs = spark.createDataFrame([(1, "released under the GNU GPL v2"), (2, "GNU-GPL, version 3.0 only"), (3, "MIT No Attribution"), (4, "a gnu, no gplx")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: ("gpl-2.0", 0.75), 2: ("gpl-3.0", 0.75), 3: ("mit-0", 0.75), 4: ("", 0.0)}
+
+
 def test_fingerprints(odd, none, spark):
     got = keyed(fingerprints.fingerprints(odd, bucket_rows=8).collect())
     assert sum(map(len, got.values())) == odd.count()
