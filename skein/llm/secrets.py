@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 _ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: kind: pattern, group that holds the value, least characters of it. In this order kinds of one start are listed.
 BASE = (("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+_PEM_END = "-----END [A-Z ]*PRIVATE KEY-----"
+#: A private key's body is all up to its END line; where that is missing, what looks like lines of a key.
+_PEM = f"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:[^-]|-(?!----))*+(?={_PEM_END})|(?:(?:\\s|\\\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n]*+|[A-Za-z0-9+/=]{{16,}}+))*+)(?:{_PEM_END})?"
 #: Spans that the method adds.
 MORE = (
     ("github", "gh[pousr]_[A-Za-z0-9]{30,}", 0, 34),
@@ -15,10 +18,11 @@ MORE = (
     ("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("google", "AIza[A-Za-z0-9_-]{35}", 0, 39),
     ("stripe", "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 24),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    ("pem", _PEM, 1, 1),
     ("login", "[a-z][a-z0-9+.-]{1,15}://[^\\s/:@]{1,64}:[^\\s/@]{3,128}@", 0, 12),
 )
 KINDS = BASE + MORE
+PEM = [n for n, *_ in KINDS].index("pem")
 #: What any span of any kind makes match.
 GATE = "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|gh[pousr]_|eyJ|xox[abeprs]-|AIza|[sr]k_|PRIVATE KEY|://"
 
@@ -68,7 +72,9 @@ def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source",
     owned = rows.where("k is not null").groupBy("k", F.col(owner_col).alias("owner")).agg(F.count(F.lit(1)).alias("n"))
     stats = ownership(found, owned)
     distinct_marks = F.length(F.regexp_replace(F.lower("value"), "(.)(?=.*\\1)", ""))
-    example = (F.col("owners") >= copied) | F.lower("value").rlike("example|changeme|placeholder|your[_-]|xxxx") | (F.col("_marks") < 4)
+    # The body of a key is long enough to hold some of these by chance.
+    mock = F.lower("value").rlike("example|changeme|placeholder|your[_-]|xxxx") & ((F.col("kind_no") != PEM) | (F.length("value") <= 128))
+    example = (F.col("owners") >= copied) | mock | (F.col("_marks") < 4)
     judged = found.withColumn("vh", F.xxhash64("value")).join(stats, "vh").withColumn("_marks", F.when(F.length("value") <= 128, distinct_marks).otherwise(F.lit(9)))
     judged = judged.withColumn("shared", example)
     names = F.array(*[F.lit(n) for n, *_ in KINDS])

@@ -118,6 +118,31 @@ def test_secrets_owners_and_redaction(spark):
     assert {r["k"] for r in out.values()} == {"kept"} and out[6]["live"] == "kept too"
 
 
+def pem(body, kind="RSA ", end=True):
+    return f"-----BEGIN {kind}PRIVATE KEY-----{body}" + (f"-----END {kind}PRIVATE KEY-----" if end else "")
+
+
+def test_private_keys_are_their_bodies(spark):
+    line = lambda i, j: hashlib.sha512(f"{i} {j}".encode()).hexdigest()[:64].upper()
+    bodies = {i: "\n" + "\n".join(line(i, j) for j in range(24)) + "\nAb3=\n" for i in range(6)}
+    bodies[4] = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n" + bodies[4]
+    bodies[5] = bodies[5].replace("\n", "\\n")
+    texts = {i: f"before {pem(b)} after" for i, b in bodies.items()}
+    known = "\n" + line(9, 9) + "\n"
+    texts |= {i: pem(known, "") for i in (10, 11, 12)}
+    texts[20] = "cut " + pem(bodies[0].replace("Ab3=\n", ""), end=False).replace(line(0, 0), line(20, 0)) + "\nthen some words. " + pem("\n" + line(21, 0) + "\n", "EC ")
+    texts[22] = f"look for {pem(' in the file', end=False)}"
+    texts[23] = pem("\n" + "+/" * 300_000 + line(23, 0) + "\n")
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    for i in range(6):
+        assert out[i] == f"before {pem('[secret]')} after" and found[i]["n_shared"] == 0 and f"pem:7:{len(texts[i]) - 6}" in found[i]["spans"].split(",")
+    assert all(out[i] == texts[i] and (found[i]["n_live"], found[i]["n_shared"]) == (0, 1) for i in (10, 11, 12))
+    assert out[20] == f"cut {pem('[secret]', end=False)}\n\nthen some words. {pem('[secret]', 'EC ')}"
+    assert out[22] == texts[22] and found[22]["spans"] == "" and out[23] == pem("[secret]")
+
+
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
 
