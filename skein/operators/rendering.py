@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field
 from itertools import zip_longest
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,19 +57,41 @@ def url_similarity(a: Column | str, b: Column | str) -> Column:
 
 @dataclass
 class RenderingModel:
-    """Per label, up to `most` known pages of either kind, and weights of a logistic regression on the mean likeness to both."""
+    """Counts of the segments of all known pages, and weights of a logistic regression on the mean likeness to both kinds.
 
-    known: dict = field(default_factory=dict)  # label -> {kind: [components]}
+    Likeness goes by host and by segments in the same place, so counts by place give the means over all pages.
+    """
+
+    pages: dict = field(default_factory=dict)  # label -> {kind: pages}
+    lengths: dict = field(default_factory=dict)  # (label, host) -> {(kind, segments): pages}
+    segments: dict = field(default_factory=dict)  # (label, host, place) -> {segment: {(kind, segments): pages}}
     weights: tuple[float, float, float] | None = None
+    seen: dict = field(default_factory=dict, repr=False)
+
+    def alike(self, label: str | None, host: str, place: int, segment: str) -> dict:
+        """(kind, segments) -> known pages with a segment much like this one in its place."""
+        key = (label, host, place, segment)
+        if key not in self.seen:
+            out = self.seen[key] = {}
+            for other, counts in self.segments.get(key[:3], {}).items():
+                if jaro_winkler(segment, other) > 0.8:
+                    for k, n in counts.items():
+                        out[k] = out.get(k, 0) + n
+        return self.seen[key]
 
     def features(self, label: str | None, parts: list[str]) -> tuple[float, float]:
-        kinds = self.known.get(label, {})
-        mean = lambda k: sum(similarity(parts, p) for p in kinds.get(k, [])) / len(kinds[k]) if kinds.get(k) else 0.0
-        return mean(STATIC), mean(CLIENT)
+        sums = {STATIC: 0.0, CLIENT: 0.0}
+        own = parts[1:]
+        for (kind, length), n in self.lengths.get((label, parts[0]), {}).items() if parts else ():
+            longest = max(len(own), length)
+            hits = sum(self.alike(label, parts[0], k, own[k] if k < len(own) else "").get((kind, length), 0) if k < length else n * (own[k] == "") for k in range(longest))
+            sums[kind] += hits / longest if longest else n
+        pages = self.pages.get(label, {})
+        return tuple(sums[k] / pages[k] if k in pages else 0.0 for k in (STATIC, CLIENT))
 
     def predict(self, label: str | None, parts: list[str]) -> tuple[str, float]:
         """Kind, and how probable a new detection should be made: 1 without knowledge of the label."""
-        if self.weights is None or label not in self.known:
+        if self.weights is None or label not in self.pages:
             return CLIENT, 1.0
         x, y = self.features(label, parts)
         p = 1 / (1 + math.exp(-(self.weights[0] + self.weights[1] * x + self.weights[2] * y)))
@@ -77,24 +100,33 @@ class RenderingModel:
         return (STATIC if p > 0.5 else CLIENT), 0.1
 
 
-def train_predictor(results: DataFrame, most: int = 200) -> RenderingModel:
-    """results(url, label, rendering_type). At most `most` pages of a label and kind are kept, those of least hash: the
-    model is broadcast in closures, so it's bounded; the number of labels is that of a crawl's handlers."""
-    parts = results.select("label", F.col("rendering_type").alias("kind"), U.url_components("url").alias("p")).where("p is not null")
-    heads = parts.groupBy("label", "kind").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("p").alias("h"), F.col("p")))), 1, most).alias("ps")).collect()
+def train_predictor(results: DataFrame) -> RenderingModel:
+    """results(url, label, rendering_type), all of them. The driver holds a count for each distinct segment of a label,
+    host and place, and the distinct features; the number of labels is that of a crawl's handlers."""
+    parts = results.select("label", F.col("rendering_type").alias("kind"), U.url_components("url").alias("p")).where(F.col("p").isNotNull() & F.col("kind").isin(STATIC, CLIENT))
+    placed = parts.select("label", "kind", F.col("p")[0].alias("host"), (F.size("p") - 1).alias("length"), F.posexplode("p").alias("place", "segment"))
     model = RenderingModel()
-    for r in heads:
-        model.known.setdefault(r["label"], {})[r["kind"]] = [list(x["p"]) for x in r["ps"]]
-    rows = [(*model.features(label, p), kind == STATIC) for label, kinds in model.known.items() for kind, ps in kinds.items() for p in ps]
+    # In order, so that sums come out the same each time. Place 0 is the host.
+    for label, kind, host, length, place, segment, n in sorted(placed.groupBy(*placed.columns).count().collect(), key=repr):
+        if place:
+            model.segments.setdefault((label, host, place - 1), {}).setdefault(segment, {})[kind, length] = n
+        else:
+            kinds = model.pages.setdefault(label, {})
+            kinds[kind] = kinds.get(kind, 0) + n
+            model.lengths.setdefault((label, host), {})[kind, length] = n
+
+    @F.pandas_udf("struct<x: double, y: double>")
+    def features(label: pd.Series, p: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.features(k, list(x)) for k, x in zip(label, p, strict=True)], columns=["x", "y"])
+
+    rows = parts.select(features("label", "p").alias("f"), (F.col("kind") == STATIC).alias("t")).groupBy("f.x", "f.y", "t").count().collect() if model.pages else []
     if rows:
-        w = [0.0, 0.0, 0.0]
+        x, y, t, n = np.array(sorted(map(tuple, rows)), float).T
+        w = np.zeros(3)
         for _ in range(300):
-            g = [0.0, 0.0, 0.0]
-            for x, y, t in rows:
-                e = 1 / (1 + math.exp(-(w[0] + w[1] * x + w[2] * y))) - t
-                g = [g[0] + e, g[1] + e * x, g[2] + e * y]
-            w = [a - 2.0 * b / len(rows) for a, b in zip(w, g, strict=True)]
-        model.weights = tuple(w)
+            e = n * (1 / (1 + np.exp(-(w[0] + w[1] * x + w[2] * y))) - t)
+            w = w - 2.0 * np.array([e.sum(), (e * x).sum(), (e * y).sum()]) / n.sum()
+        model.weights = tuple(w.tolist())
     return model
 
 

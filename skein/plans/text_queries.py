@@ -162,7 +162,7 @@ def url_similarity(spark, sf_dir):
 @query()
 def rendering_predict(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", U.url_components("url")[2].alias("label"), F.when(F.col("page_id") % 3 == 0, D.STATIC).otherwise(D.CLIENT).alias("rendering_type"))
-    model = D.train_predictor(p.where("page_id % 2 = 0"), most=20)
+    model = D.train_predictor(p)
     return D.predict(p.select("page_id", "url", "label"), model).select("page_id", "rendering_type", "detection_probability")
 
 

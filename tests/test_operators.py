@@ -99,6 +99,17 @@ def test_router(spark):
         r.run(spark.createDataFrame([("b",)], "label string"))
 
 
+def test_rendering_features_are_means_over_all_pages(spark):
+    urls = [f"http://{'ab'[i % 2]}.com/{('cat', 'cats', 'dog')[i % 3]}/{i * 7919 % 1000}{('', '/', '/x')[i % 5 % 3]}" for i in range(700)]
+    rows = [(u, "L", D.STATIC if i % 4 else D.CLIENT) for i, u in enumerate([*urls, *urls[:40], "http://a.com", "http://a.com//"])]
+    model = D.train_predictor(spark.createDataFrame(rows, "url string, label string, rendering_type string"))
+    parts = lambda u: [(r := u[7:].split("/", 1))[0], "", *(r[1].split("/") if len(r) > 1 else [""])]
+    for u in [*urls[::60], "http://a.com", "http://c.com/cat/1", "http://b.com/catx/79/x/y"]:
+        for kind, got in zip((D.STATIC, D.CLIENT), model.features("L", parts(u)), strict=True):
+            known = [parts(v) for v, _, k in rows if k == kind]
+            assert abs(got - sum(D.similarity(parts(u), v) for v in known) / len(known)) < 1e-9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 def test_jaro_winkler(a, b):
