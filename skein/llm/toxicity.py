@@ -19,7 +19,6 @@ _LETTER = np.where(_BREAK, np.uint64(0), BYTE | np.uint64(1))
 _LETTER[65:91] = _LETTER[97:123]
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
-TABLE_BITS = 18
 #: Bounds of the labelled sample that one task fits on.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 
@@ -100,10 +99,17 @@ class Model:
     bias: float
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        slot, check, weight = (self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.float32)
-        order = np.argsort(np.abs(self.weights))  # of words in one slot the weightiest stays
-        check[slot[order]], weight[slot[order]] = self.keys[order], self.weights[order]
-        return check, weight
+        order = np.argsort(self.keys)
+        return self.keys[order], self.weights[order].astype(np.float32)
+
+
+def known(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that have a weight, and their weights."""
+    keys, weight = table
+    at = np.searchsorted(keys, words)
+    hit = np.flatnonzero(at < len(keys))
+    hit = hit[keys[at[hit]] == words[hit]]
+    return hit, weight[at[hit]]
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -151,10 +157,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0, steps:
 def scores(model: Model, texts: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Noisy-or of the sentences of each text; a text without words counts as one sentence without known words."""
     words, sents, docs = bags(texts)
-    check, weight = table
-    slot = (words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    hit = np.flatnonzero(check[slot] == words)
-    z = model.bias + np.bincount(sents[hit], weights=weight[slot[hit]], minlength=len(docs))
+    hit, weight = known(table, words)
+    z = model.bias + np.bincount(sents[hit], weights=weight, minlength=len(docs))
     s = np.bincount(docs, weights=softplus(z), minlength=len(texts))
     s[np.bincount(docs, minlength=len(texts)) == 0] = softplus(np.float64(model.bias))
     return -np.expm1(-s)
@@ -162,7 +166,6 @@ def scores(model: Model, texts: list[bytes], table: tuple[np.ndarray, np.ndarray
 
 def offending(model: Model, text: str, table: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> list[tuple[int, int, float]]:
     """Start, end (code points) and score of the sentences of text that score least or more."""
-    check, weight = table
     out, at = [], 0
     raw = text.encode("utf-8", "surrogatepass")
     ends = np.append(np.flatnonzero(_STOP[np.frombuffer(raw, np.uint8)]), len(raw)) if raw else np.empty(0, int)
@@ -170,8 +173,7 @@ def offending(model: Model, text: str, table: tuple[np.ndarray, np.ndarray], lea
         block = raw[at : end + 1]
         if block:
             _, h = _hash_block(block, _BREAK, _LETTER)
-            slot = (np.unique(h) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            z = model.bias + float(weight[slot[check[slot] == np.unique(h)]].sum())
+            z = model.bias + float(known(table, np.unique(h))[1].sum())
             if (p := 1 / (1 + np.exp(-z))) >= least and len(h):
                 out.append((len(raw[:at].decode("utf-8", "replace")), len(raw[: end + 1].decode("utf-8", "replace")), float(p)))
         at = end + 1

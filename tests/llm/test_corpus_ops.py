@@ -214,6 +214,17 @@ def test_toxicity(spark, odd, none):
     assert {r["predicted"] for r in toxicity.score_documents(d, empty).collect()} == {0}
 
 
+def test_toxicity_words_of_near_hashes_keep_their_weights():
+    _, h = toxicity._hash_block(b"alpha beta gamma", toxicity._BREAK, toxicity._LETTER)
+    near = h ^ np.uint64(1)  # as many hashes that differ in the last bit, of greater weight
+    model = toxicity.Model(np.concatenate([h, near]), np.array([1.0, 2, 4, 9, 9, 9]), -3.0)
+    want = 1 / (1 + np.exp(-4.0))
+    assert abs(toxicity.scores(model, [b"alpha beta gamma"], model.table())[0] - want) < 1e-6
+    assert [(a, b) for a, b, _ in toxicity.offending(model, "alpha beta gamma", model.table())] == [(0, 16)]
+    none = toxicity.Model(np.empty(0, np.uint64), np.empty(0), -3.0)
+    assert abs(toxicity.scores(none, [b"alpha"], none.table())[0] - 1 / (1 + np.exp(3.0))) < 1e-6
+
+
 def test_warc(spark, tmp_path):
     rng = random.Random(2)
     long = ["<p>" + "x" * n + "\r\n\r\né</p>" for n in (99, 150, 300)]
