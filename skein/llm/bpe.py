@@ -19,18 +19,16 @@ from functools import cache
 from itertools import chain
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces up to this many bytes are merged whole; longer ones go through the transducer.
-SHORT = 192
-#: Pieces whose encodings a worker remembers.
-REMEMBERED = 300_000
-_NONE, _MASK, _SPREAD = np.int64(1 << 60), (1 << 19) - 1, np.int64(0x1E3779B97F4A7C15)
-#: Characters that are encoded together.
-TOGETHER = 2_000_000
+from skein.llm.common import sliced
+
+#: Characters that are read at a time.
+BLOCK = 1 << 16
+#: Pieces of up to so many characters whose ids a worker remembers, and how many of them.
+SHORT, REMEMBERED = 64, 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,6 +56,7 @@ def _class(last: int, *categories: str) -> str:
 
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 @cache
@@ -76,31 +75,19 @@ def _finder(text: str) -> re.Pattern:
 
 
 class Known(dict):
-    """Encodings of pieces met so far. A missing one is an empty list that settle() fills, all missing ones together;
-    settle() also forgets all once there are more than REMEMBERED."""
+    """Ids of pieces met so far, as the transducer gave them; all are forgotten once there are REMEMBERED."""
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe, self.missing = bpe, []
-
-    def __missing__(self, text: str) -> list[int]:
-        got: list[int] = []
-        raw = text.encode("utf-8", "surrogatepass")
-        if len(raw) > SHORT:
-            run = Transducer(self.bpe)
-            return [*run.feed(raw), *run.end()]
-        self[text] = got
-        self.missing.append((raw, got))
-        return got
+        self.bpe = bpe
 
-    def settle(self) -> None:
-        if self.missing:
-            raws = [raw for raw, _ in self.missing]
-            merged = self.bpe.merge_many(raws) if len(raws) > 256 else map(self.bpe.merge, raws)
-            for (_, got), ids in zip(self.missing, merged, strict=True):
-                got += ids
-            self.missing = []
-        if len(self) > REMEMBERED:
+    def __missing__(self, piece: str) -> list[int]:
+        run, size = Transducer(self.bpe), len(piece)
+        if size > SHORT:
+            return [t for i in range(0, size, BLOCK) for t in run.feed(piece[i : i + BLOCK].encode("utf-8", "surrogatepass"))] + run.end()
+        if len(self) >= REMEMBERED:
             self.clear()
+        got = self[piece] = run.feed(piece.encode("utf-8", "surrogatepass")) + run.end()
+        return got
 
 
 class Bpe:
@@ -119,180 +106,142 @@ class Bpe:
         for s, i in self.specials.items():
             self.bytes[i] = s.encode()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: Rank and result of each pair that merges, in one number.
-        self.rank = {(self.ids[raw(a)], self.ids[raw(b)]): r << 20 | self.ids[raw(a) + raw(b)] for r, (a, b) in reversed(list(enumerate(pairs)))}
-        #: Bytes that can still matter to a token that ends: the longest that merges make.
+        #: Rank and result of each pair that merges, in one number; pairs are one number, too.
+        self.rank = {self.ids[raw(a)] << 20 | self.ids[raw(b)]: r << 20 | self.ids[raw(a) + raw(b)] for r, (a, b) in reversed(list(enumerate(pairs)))}
+        #: The longest token that merges make. Whatever follows, the next boundary is one of the last so many positions.
         self.lookahead = max([1, *[len(self.bytes[n & 0xFFFFF]) for n in self.rank.values()]])
         self.single = [self.ids.get(bytes([i]), -1) for i in range(256)]
         self.names = [str(i) for i in range(len(self.bytes))]
         self.cut = re.compile("|".join(sorted(map(re.escape, self.specials), key=len, reverse=True))) if self.specials else None
+        self.longest = max([1, *map(len, self.specials)])
         self.known = Known(self)
+        self._split = {n & 0xFFFFF: (p >> 20, p & 0xFFFFF, n >> 20) for p, n in reversed(self.rank.items())}
         self._fits: dict[int, bool] = {}
-        self._single = np.array(self.single)
-        self._keys, self._values = np.full(_MASK + 1, -1), np.full(_MASK + 1, _NONE)
-        for (a, b), value in self.rank.items():
-            key = a << 20 | b
-            slot = ((key * int(_SPREAD) & (1 << 64) - 1) >> 44) & _MASK
-            while self._keys[slot] >= 0:
-                slot = (slot + 1) & _MASK
-            self._keys[slot], self._values[slot] = key, value
+        self._edges: dict[int, tuple[list, list]] = {}
+        #: Tokens by their bytes from the last to the first: node and byte give the next node; ends: a node's token.
+        self.trie: dict[int, int] = {}
+        self.ends = [-1]
+        for s, i in self.ids.items():
+            if self.merge(s) == [i]:
+                node = 0
+                for b in reversed(s):
+                    node = self.trie.setdefault(node << 8 | b, len(self.ends))
+                    if node == len(self.ends):
+                        self.ends.append(-1)
+                self.ends[node] = i
 
     def merge(self, piece: bytes) -> list[int]:
-        """All merges of a piece, lowest rank first and leftmost among equals: the definition of BPE, for short pieces."""
+        """All merges of a piece, lowest rank first and leftmost among equals: the definition of BPE."""
         parts = list(map(self.single.__getitem__, piece))
         get, none = self.rank.get, 1 << 60
-        ranks = [get(p, none) for p in zip(parts, parts[1:])]  # noqa: B905
+        ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
             parts[i] = new = best & 0xFFFFF
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], new), none)
+                ranks[i - 1] = get(parts[i - 1] << 20 | new, none)
             if i < len(ranks):
-                ranks[i] = get((new, parts[i + 1]), none)
+                ranks[i] = get(new << 20 | parts[i + 1], none)
         return parts
 
+    def edges(self, t: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """What stands at t's left and at its right edge while merges make it: (token, made at, merged on at) by rank."""
+        known = self._edges.get(t)
+        if known is None:
+            sides = []
+            for side in (0, 1):
+                at, until, rows = t, 1 << 40, []
+                while True:
+                    parts = self._split.get(at)
+                    rows.append((at, parts[2] if parts else -1, until))
+                    if parts is None:
+                        break
+                    at, until = parts[side], parts[2]
+                sides.append(rows)
+            known = self._edges[t] = (sides[0], sides[1])
+        return known
+
     def fits(self, a: int, b: int) -> bool:
-        """Whether a then b is the BPE of their bytes; a of -1: whether b is that of its own."""
+        """Whether a then b is the BPE of their bytes: no merge joins what stands at a's right edge with what stands at
+        b's left edge at that time. Of equal ranks the left one comes first."""
         known = self._fits.get(a << 20 | b)
         if known is None:
             if len(self._fits) >= REMEMBERED:
                 self._fits.clear()
-            known = self._fits[a << 20 | b] = self.merge((self.bytes[a] if a >= 0 else b"") + self.bytes[b]) == ([a, b] if a >= 0 else [b])
+            get, known = self.rank.get, True
+            left = self.edges(b)[0]
+            for x, made_x, until_x in self.edges(a)[1]:
+                for y, made_y, until_y in left:
+                    n = get(x << 20 | y)
+                    if n is not None and (at := max(n >> 20, made_x, made_y)) < until_x and at <= until_y:
+                        known = False
+            self._fits[a << 20 | b] = known
         return known
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """merge() of many pieces at once, a merge of each in a round; arrays are as wide as the longest of a group."""
-        out: list[list[int]] = [[]] * len(pieces)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for i in range(0, len(order), 8192):
-            group = order[i : i + 8192]
-            wide = len(pieces[group[-1]])
-            sizes = np.array([len(pieces[k]) for k in group])
-            raw = np.frombuffer(b"".join([pieces[k].ljust(wide, b"\0") for k in group]), np.uint8).reshape(len(group), wide)
-            parts = np.where(np.arange(wide) < sizes[:, None], self._single[raw], -1)
-            ranks = np.full(parts.shape, _NONE)
-            if wide > 1:
-                ranks[:, :-1] = self._ranks(parts[:, :-1], parts[:, 1:])
-            rows, columns = np.array(group), np.arange(wide)
-            while len(rows):
-                at = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(rows)), at]
-                live = best < _NONE
-                if not live.all():
-                    done = ~live
-                    for k, ids, n in zip(rows[done].tolist(), parts[done].tolist(), (parts[done] >= 0).sum(axis=1).tolist(), strict=True):
-                        out[k] = ids[:n]
-                    rows, parts, ranks, at, best = rows[live], parts[live], ranks[live], at[live], best[live]
-                    if not len(rows):
-                        break
-                here = np.arange(len(rows))
-                later = columns[None, :] + (columns[None, :] > at[:, None])
-                later[:, -1] = np.minimum(later[:, -1], wide - 1)
-                parts = np.take_along_axis(parts, later, 1)
-                parts[:, -1] = -1
-                ranks = np.take_along_axis(ranks, np.minimum(columns[None, :] + (columns[None, :] >= at[:, None]), wide - 1), 1)
-                ranks[:, -1] = _NONE
-                new = best & 0xFFFFF
-                parts[here, at] = new
-                ranks[here, at] = self._ranks(new, parts[here, np.minimum(at + 1, wide - 1)])
-                left = np.flatnonzero(at > 0)
-                ranks[left, at[left] - 1] = self._ranks(parts[left, at[left] - 1], new[left])
-        return out
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """rank of pairs by an open table; _NONE where they don't merge, or one is -1."""
-        key = a << 20 | b
-        slot = ((key * _SPREAD) >> 44) & _MASK
-        found = np.where(self._keys[slot] == key, self._values[slot], _NONE)
-        todo = np.flatnonzero(((self._keys[slot] != key) & (self._keys[slot] >= 0)).ravel())
-        flat, key, slot = found.reshape(-1), key.reshape(-1), slot.reshape(-1)
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & _MASK
-            k = self._keys[slot[todo]]
-            hit = k == key[todo]
-            flat[todo[hit]] = self._values[slot[todo[hit]]]
-            todo = todo[~hit & (k >= 0)]
-        return np.where((a < 0) | (b < 0), _NONE, found)
-
-    def piece(self, text: str) -> list[int]:
-        got = self.known[text]
-        self.known.settle()
-        return got
+    def encode(self, text: str, special: bool = True) -> list[int]:
+        return list(chain.from_iterable(self.encode_stream([text], special)))
 
-    def _plain(self, text: str) -> list[int]:
-        return self.encode(text, False)
+    def encode_stream(self, chunks: Iterable[str], special: bool = True) -> Iterator[list[int]]:
+        """Ids of a text that comes in chunks, in lists, held no longer than they can change.
 
-    def encode(self, text: str, special: bool = True) -> list[int]:
-        return self.encode_many([text], special)[0]
-
-    def encode_many(self, texts: list[str], special: bool = True) -> list[list[int]]:
-        known, out = self.known, []
-        for text in texts:
-            if special and self.cut is not None and self.cut.search(text):
-                parts, at = [], 0
-                for m in self.cut.finditer(text):
-                    parts += [known[p] for p in _finder(text).findall(text[at : m.start()])]
-                    parts.append([self.specials[m[0]]])
-                    at = m.end()
-                out.append(parts + [known[p] for p in _finder(text).findall(text[at:])])
-            else:
-                out.append([known[p] for p in _finder(text).findall(text)])
-        known.settle()
-        return [list(chain.from_iterable(parts)) for parts in out]
-
-    def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in chunks, held no longer than they can change.
-
-        What is held back: the last piece (more of it may follow), and as many characters as a special token could
-        begin in. A piece that outgrows the buffer is passed on to the transducer as it comes.
+        What is held back: what follows the last blank after a word (pieces end there whatever comes), or else the last
+        piece and as many characters as a special token could begin in. A piece that outgrows the buffer is passed on
+        to the transducer as it comes.
         """
         hold, run, kind = "", None, None
-        longest = max([1, *map(len, self.specials)])
-        letter, number = _class(sys.maxunicode, "L"), _class(sys.maxunicode, "N")
-        kinds = [re.compile(f"[{x}]*") for x in (letter, number, f"^{SPACE}{letter}{number}")]
+        cut = self.cut if special else None
+
+        def plain(text: str) -> list[int]:
+            return list(chain.from_iterable(map(self.known.__getitem__, _finder(text).findall(text))))
 
-        def over(text: str, last: bool) -> Iterator[int]:
+        def over(text: str, last: bool) -> Iterator[list[int]]:
             nonlocal hold, run, kind
             hold = ""
             while text or last:
                 if run is not None:
                     n = kind.match(text).end()
-                    n = min(n, max(0, len(text) - longest)) if not last else n
-                    stop = self.cut.search(text) if self.cut else None
+                    n = min(n, max(0, len(text) - self.longest)) if not last else n
+                    stop = cut.search(text) if cut else None
                     n = min(n, stop.start()) if stop else n
-                    yield from run.feed(text[:n].encode("utf-8", "surrogatepass"))
+                    yield run.feed(text[:n].encode("utf-8", "surrogatepass"))
                     text = text[n:]
-                    if not last and len(text) <= longest:
+                    if not last and len(text) <= self.longest:
                         hold = text
                         return
-                    yield from run.end()
+                    yield run.end()
                     run = None
                     continue
-                stop = self.cut.search(text) if self.cut else None
+                stop = cut.search(text) if cut else None
                 if stop:
-                    yield from self._plain(text[: stop.start()])
-                    yield self.specials[stop[0]]
+                    yield [*plain(text[: stop.start()]), self.specials[stop[0]]]
                     text = text[stop.end() :]
                     continue
                 if last:
-                    yield from self._plain(text)
+                    yield plain(text)
                     return
-                safe, done, open_at = len(text) - longest - 2, 0, 0
+                blank = text.rfind(" ")
+                while blank > 0 and text[blank - 1] in _SPACES:
+                    blank -= 1
+                if blank > 0:
+                    yield plain(text[:blank])
+                    text = text[blank:]
+                safe, done, open_at, ids = len(text) - self.longest - 2, 0, 0, []
                 for m in _finder(text).finditer(text):
                     open_at = m.start()
                     if m.end() > safe:
                         break
-                    yield from self.piece(m[0])
+                    ids += self.known[m[0]]
                     done = m.end()
+                yield ids
                 hold = text[done:]
-                if len(hold) > 4 * SHORT + longest and open_at == done:
+                if len(hold) > 4 * SHORT + self.longest and open_at == done:
                     body = hold[1:] if hold[0] == " " and len(hold) > 1 else hold
-                    kind = next((k for k in kinds if k.match(body).end()), None)
+                    kind = next((k for k in _kinds() if k.match(body).end()), None)
                     if kind is not None and not hold.startswith("'"):
                         run, text, hold = Transducer(self), hold, ""
                         if text[0] == " ":
-                            yield from run.feed(b" ")
+                            yield run.feed(b" ")
                             text = text[1:]
                         continue
                 return
@@ -301,75 +250,92 @@ class Bpe:
             yield from over(hold + chunk, False)
         yield from over(hold, True)
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def encode_blocks(self, text: str) -> Iterator[list[int]]:
+        """encode_stream() of a text read BLOCK characters at a time."""
+        return self.encode_stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)) if len(text) > BLOCK else self.encode_stream([text])
 
-    def decode(self, ids: Iterable[int], size: int = 65536) -> str:
-        """Text of ids: blocks of bytes through a decoder that keeps a character's bytes until it's whole; others
-        become U+FFFD."""
-        return "".join(self.decode_stream(ids, size))
+    def decode(self, ids: Iterable[int]) -> str:
+        """Text of ids; bytes that make no character become U+FFFD."""
+        state = Decoder(self)
+        return state.feed(ids) + state.end()
 
-    def decode_stream(self, ids: Iterable[int], size: int = 65536) -> Iterator[str]:
-        state, ids = codecs.getincrementaldecoder("utf-8")("replace"), list(ids) if not isinstance(ids, list) else ids
-        for i in range(0, len(ids), size):
-            yield state.decode(self.decode_bytes(ids[i : i + size]))
-        yield state.decode(b"", final=True)
+
+@cache
+def _kinds() -> list[re.Pattern]:
+    letter, number = _class(sys.maxunicode, "L"), _class(sys.maxunicode, "N")
+    return [re.compile(f"[{x}]*") for x in (letter, number, f"^{SPACE}{letter}{number}")]
+
+
+class Decoder:
+    """Ids in, text out: a state machine that keeps the bytes of a character until it's whole."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bytes, self.state = bpe.bytes, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.state.decode(b"".join(map(self.bytes.__getitem__, ids)))
+
+    def end(self) -> str:
+        return self.state.decode(b"", final=True)
 
 
 class Transducer:
-    """Bytes in, ids out as soon as they're stable."""
+    """Bytes of a piece in, ids out as soon as they're stable.
+
+    last[k] is the final token of the BPE of the bytes up to k: of the tokens that end there, the one that fits the
+    final token of what is before it. Bytes and tokens are forgotten once emitted; what is held is looked through for
+    stable tokens whenever it has doubled, so a byte costs as much in a long piece as in a short one.
+    """
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe, self.start, self.data = bpe, 0, bytearray()
-        self.last: list[int] = [-1]  # last[k]: the final token at position start + k; a sentinel at the start
-        self.before = -1
+        self.bpe, self.data = bpe, bytearray()
+        self.last: list[int] = [-1]  # -1: the start of the piece, which any token fits
+        self.most = 4 * bpe.lookahead
 
     def feed(self, raw: bytes) -> list[int]:
         out: list[int] = []
-        bpe, most = self.bpe, self.bpe.lookahead
+        data, last, step, ends = self.data, self.last, self.bpe.trie.get, self.bpe.ends
+        known, fits = self.bpe._fits.get, self.bpe.fits
         for b in raw:
-            self.data.append(b)
-            i = len(self.data)
-            for n in range(1, min(most, i) + 1):
-                t = bpe.ids.get(bytes(self.data[i - n : i]))
-                if t is None:
-                    continue
-                prev = self.last[i - n] if i > n else self.before
-                if prev != -2 and bpe.fits(prev, t):
-                    self.last.append(t)
-                    break
-            else:
-                self.last.append(-2)
-            if i >= 4 * most:
+            data.append(b)
+            node = 0
+            for j in range(len(data) - 1, -1, -1):
+                node = step(node << 8 | data[j])
+                if node is None:
+                    raise ValueError("a byte without a token")
+                t = ends[node]
+                if t >= 0:
+                    before = last[j]
+                    fit = before < 0 or known(before << 20 | t)
+                    if fit or fit is None and fits(before, t):
+                        last.append(t)
+                        break
+            if len(data) >= self.most:
                 out += self._stable()
+                self.most = max(4 * self.bpe.lookahead, 2 * len(data))
         return out
 
-    def _path(self, at: int) -> list[int]:
-        ends = []
+    def _drop(self, end: int) -> list[int]:
+        """The tokens up to the boundary end, which are forgotten here but for the last one."""
+        ids, at = [], end
         while at > 0:
-            ends.append(at)
+            ids.append(self.last[at])
             at -= len(self.bpe.bytes[self.last[at]])
-        return ends[::-1]
-
-    def _drop(self, ends: list[int]) -> list[int]:
-        ids = [self.last[e] for e in ends]
-        if ends:
-            self.before = ids[-1]
-            del self.data[: ends[-1]]
-            self.last = [-1, *self.last[ends[-1] + 1 :]]
-        return ids
+        del self.data[:end], self.last[:end]
+        return ids[::-1]
 
     def _stable(self) -> list[int]:
-        n, shared = len(self.data), None
-        for at in range(n - self.bpe.lookahead + 1, n + 1):
-            if self.last[at] == -2:
-                continue
-            ends = self._path(at)
-            shared = ends if shared is None else [e for e, f in zip(shared, ends) if e == f]
-        return self._drop(shared or [])
+        """Tokens up to the boundary where the ways back from all positions that may be the next boundary have met."""
+        n = len(self.data)
+        open_at = set(range(max(0, n - self.bpe.lookahead + 1), n + 1))
+        while len(open_at) > 1:
+            at = max(open_at)
+            open_at.remove(at)
+            open_at.add(at - len(self.bpe.bytes[self.last[at]]))
+        return self._drop(open_at.pop())
 
     def end(self) -> list[int]:
-        return self._drop(self._path(len(self.data)))
+        return self._drop(len(self.data))
 
 
 @cache
@@ -377,41 +343,33 @@ def _bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def grouped(texts: list[str | None]) -> Iterator[list[str]]:
-    """texts (null: empty) in groups of about TOGETHER characters."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t or "") > TOGETHER:
-            yield group
-            group, size = [], 0
-        group.append(t or "")
-        size += len(t or "")
-    if group:
-        yield group
-
-
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def coded_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_tokens and the digests of ids (decimal, comma-joined) and of the decoded text.
 
-    Null counts as empty: no tokens, digests of no bytes. path: the vocabulary's file, present on all executors.
+    Null counts as empty: no tokens, digests of no bytes. Rows don't meet, so repeats and ties need nothing; an empty
+    table gives none. Ids of a text go to the digest and the decoder block by block, so of a very long one only the
+    text itself is held. path: the vocabulary's file, present on all executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
-        for batch in batches:
-            n, a, b = [], [], []
-            for texts in grouped(batch.column(1).to_pylist()):
-                for ids in bpe.encode_many(texts):
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
-                    digest = hashlib.sha256()
-                    for part in bpe.decode_stream(ids):
-                        digest.update(part.encode("utf-8"))
-                    b.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in sliced(batches):
+            counts, ids_hex, text_hex = [], [], []
+            for text in batch.column(1).to_pylist():
+                n, names, decoded, state = 0, hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
+                for ids in bpe.encode_blocks(text or ""):
+                    if ids:
+                        names.update(("," * (n > 0) + ",".join(map(bpe.names.__getitem__, ids))).encode())
+                        decoded.update(state.feed(ids).encode("utf-8"))
+                        n += len(ids)
+                decoded.update(state.end().encode("utf-8"))
+                counts.append(n)
+                ids_hex.append(names.hexdigest())
+                text_hex.append(decoded.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CODED)
 
@@ -421,8 +379,8 @@ def encoded_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
-        for batch in batches:
-            ids = [x for texts in grouped(batch.column(1).to_pylist()) for x in bpe.encode_many(texts)]
+        for batch in sliced(batches):
+            ids = [list(chain.from_iterable(bpe.encode_blocks(t or ""))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; only where it is unset, a local one is made."""
+    """The shared folder that the session names in spark.checkpoint.dir, or that was set with setCheckpointDir. With
+    neither, the warehouse's folder, which is shared by contract, serves: no machine-local one is made up."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/skein-scratch").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +38,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """batches in runs of rows of at most most bytes of texts (a longer row alone): what is made of the rows of a run at
+    a time stays small, however many rows a batch has."""
+    for batch in batches:
+        if batch.nbytes <= most:
+            yield batch
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def word_count(text: Column) -> Column:
     """Number of words, i.e. runs of anything but BLANKS; 0 for null.
 

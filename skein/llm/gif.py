@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, MAX_ROWS, FULL = 192, 4096, 4096
+from skein.llm.common import sliced
+
+#: Samples a row, rows and time of a frame, the sample that no UTF-8 text has, codes of a full table.
+WIDTH, MAX_ROWS, DELAY_MS, CLEAR, FULL = 192, 256, 40, 255, 4096
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -31,7 +34,6 @@ _STARTS = {d: np.concatenate([[0], np.cumsum(w)]) for d, w in _WIDTHS.items()}
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     """The code stream of data (samples under 2^depth); the table is cleared whenever it's full."""
     clear, end = 1 << depth, (1 << depth) + 1
-    room = FULL - end - 1  # codes that fill the table
     codes: list[int] = [clear]
     resets = [0]
     table: dict[int, int] = {}
@@ -59,7 +61,6 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
                     fresh = end + 1
         add(prefix)
         add(end)
-    del room
     return _pack(codes, resets, depth)
 
 
@@ -203,20 +204,25 @@ def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
 
 
 def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """The RGBA canvas as shown for each frame: transparent samples leave it as it was; disposal 2 clears a frame's
-    area afterwards, 3 puts back what was there before."""
+    """The RGBA canvas as shown for each frame (until the next is asked for): transparent samples leave it as it was;
+    disposal 2 clears a frame's area afterwards, 3 puts back what was there before."""
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
-        kept = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+        kept = area.copy() if f.disposal == 3 else None
         s = f.samples[: area.shape[0], : area.shape[1]]
-        rgba = np.dstack([f.palette[np.minimum(s, len(f.palette) - 1)], np.full(s.shape, 255, np.uint8)])
-        area[:] = rgba if f.transparent is None else np.where((s == f.transparent)[..., None], area, rgba)
-        yield canvas.copy()
+        colours = np.full((256, 4), 255, np.uint8)
+        colours[:, :3] = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)]
+        if f.transparent is None:
+            area[:] = colours[s]
+        else:
+            drawn = s != f.transparent
+            area[drawn] = colours[s[drawn]]
+        yield canvas
         if f.disposal == 2:
             area[:] = 0
         elif kept is not None:
-            canvas = kept
+            area[:] = kept
 
 
 def histogram(rgb: np.ndarray) -> np.ndarray:
@@ -226,18 +232,41 @@ def histogram(rgb: np.ndarray) -> np.ndarray:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """payload (a multiple of WIDTH bytes) as grey samples, in frames of at most MAX_ROWS rows."""
+    """payload (a multiple of WIDTH bytes) as grey samples, in timed frames of at most MAX_ROWS rows on one canvas.
+
+    A frame stays (disposal 1), and a sample that is on the canvas already is left out of the next frame as transparent;
+    a payload that has the byte CLEAR goes without. After every eighth frame the canvas is cleared (disposal 2), so the
+    frame that follows is whole again and a reader can begin there.
+    """
     step = WIDTH * MAX_ROWS
-    frames = [(payload[i : i + step], len(payload[i : i + step]) // WIDTH) for i in range(0, len(payload), step)]
-    return write_gif(frames, WIDTH, frames[0][1])
+    frames, extras, shown = [], [], None
+    free = bytes([CLEAR]) not in payload
+    for i in range(0, len(payload), step):
+        part = payload[i : i + step]
+        x: dict = {"disposal": 2 if len(frames) % 8 == 7 else 1}
+        if free and shown is not None:
+            own = np.frombuffer(part, np.uint8)
+            x["transparent"] = CLEAR
+            frames.append((np.where(own == shown[: len(own)], CLEAR, own).astype(np.uint8).tobytes(), len(part) // WIDTH))
+        else:
+            frames.append((part, len(part) // WIDTH))
+        # Later frames aren't taller, so what they cover is this one's part of the canvas.
+        shown = np.frombuffer(part, np.uint8) if x["disposal"] == 1 else None
+        extras.append(x)
+    return write_gif(frames, WIDTH, frames[0][1], delays=[DELAY_MS // 10] * len(frames), extras=extras)
 
 
 def decode_payload(media: bytes) -> tuple[bytes, str]:
-    """The payload of encode_payload, read through palettes, and the histogram of grey levels (16 of them) and frames."""
-    _, _, frames = read_gif(media)
-    colours = [f.palette[f.samples.ravel()] for f in frames]
-    levels = sum(np.bincount(c[:, 0] >> 4, minlength=16) for c in colours)
-    return b"".join(c[:, 0].tobytes() for c in colours), f"{len(frames)}f:" + ",".join(map(str, levels.tolist()))
+    """The payload of encode_payload, read off the composed canvas frame by frame, and a feature: frames, milliseconds
+    in all, then counts of 16 grey levels of what each frame shows where it's drawn."""
+    width, height, frames = read_gif(media)
+    levels, parts, ms = np.zeros(16, np.int64), [], 0
+    for f, canvas in zip(frames, composed(width, height, frames), strict=True):
+        grey = canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
+        levels += np.bincount(np.frombuffer(grey, np.uint8) >> 4, minlength=16)
+        parts.append(grey)
+        ms += f.delay_ms
+    return b"".join(parts), f"{len(frames)}f:{ms}ms:" + ",".join(map(str, levels.tolist()))
 
 
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -245,7 +274,7 @@ MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, t
 
 def _media_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in MEDIA.split(", ")]
-    for batch in batches:
+    for batch in sliced(batches):
         out, last = [], (None, None)
         for t in batch.column(1).to_pylist():
             t = t or ""
@@ -263,7 +292,8 @@ def _media_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each text (null: empty), padded with blanks to a positive multiple of 192 bytes, as a GIF and reads it back.
 
-    feature: frames, then counts of 16 grey levels. Rows don't meet, so repeats and ties need nothing.
+    Reading goes through code streams, palette, disposal and transparency. feature: frames, their time, counts of 16
+    grey levels. Rows don't meet, so repeats and ties need nothing; an empty table gives none.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_media_rows, MEDIA)
 
@@ -273,7 +303,7 @@ FRAMES = "media_id long, frame int, start_ms long, delay_ms long, width int, hei
 
 def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.bool_()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for i, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:

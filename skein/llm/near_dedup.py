@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import sliced, stored
 from skein.llm.wordhash import mixed, word_hashes
 
 SHINGLE, ROWS, BANDS, BITS, LANES = 5, 6, 28, 4, 16
@@ -71,7 +71,7 @@ SIGNATURE = "doc_id long, n_shingles long, cls binary, bands array<long>, sig ar
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         n, cls, bands, sigs = [], [], [], []
         for s in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(s))
@@ -93,7 +93,7 @@ def linked(i: int, a: int, b: int, percent: int = 85) -> bool:
 
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep, last, last_text = [], None, None
             for x, sy in zip(a, shingle_sets(b), strict=True):
@@ -155,7 +155,7 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """center, node, text_c, text_n -> size of node's set and what only one of the two sets has."""
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, elements, last, mine = [], [], None, None
         for c, text_c, sn in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist()), strict=True):
             if c != last or mine is None:

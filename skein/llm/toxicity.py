@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import sliced, stored
 from skein.llm.wordhash import BYTE, PIECE, _hash_block
 
 #: Only letters and bytes from 80 up make words here.
@@ -20,7 +21,7 @@ _LETTER[65:91] = _LETTER[97:123]
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 #: Bounds of the labelled sample that one task fits on.
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 4000, 1 << 25
 
 
 def sentences(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -104,12 +105,12 @@ class Model:
 
 
 def known(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words that have a weight, and their weights."""
-    keys, weight = table
+    """Places of the words that have a weight, and the places of their weights."""
+    keys = table[0]
     at = np.searchsorted(keys, words)
     hit = np.flatnonzero(at < len(keys))
     hit = hit[keys[at[hit]] == words[hit]]
-    return hit, weight[at[hit]]
+    return hit, at[hit]
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -155,10 +156,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0, steps:
 
 
 def scores(model: Model, texts: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Noisy-or of the sentences of each text; a text without words counts as one sentence without known words."""
+    """Noisy-or of the sentences of each text; a text without words counts as one sentence without known words.
+
+    As in fit(), a word counts once in a sentence, however often it stands there.
+    """
     words, sents, docs = bags(texts)
-    hit, weight = known(table, words)
-    z = model.bias + np.bincount(sents[hit], weights=weight, minlength=len(docs))
+    hit, place = known(table, words)
+    pairs = np.unique(sents[hit] * max(1, len(table[0])) + place)
+    z = model.bias + np.bincount(pairs // max(1, len(table[0])), weights=table[1][pairs % max(1, len(table[0]))] if len(pairs) else None, minlength=len(docs))
     s = np.bincount(docs, weights=softplus(z), minlength=len(texts))
     s[np.bincount(docs, minlength=len(texts)) == 0] = softplus(np.float64(model.bias))
     return -np.expm1(-s)
@@ -166,16 +171,19 @@ def scores(model: Model, texts: list[bytes], table: tuple[np.ndarray, np.ndarray
 
 def offending(model: Model, text: str, table: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> list[tuple[int, int, float]]:
     """Start, end (code points) and score of the sentences of text that score least or more."""
-    out, at = [], 0
+    out, at, point = [], 0, 0
     raw = text.encode("utf-8", "surrogatepass")
     ends = np.append(np.flatnonzero(_STOP[np.frombuffer(raw, np.uint8)]), len(raw)) if raw else np.empty(0, int)
     for end in ends.tolist():
         block = raw[at : end + 1]
         if block:
             _, h = _hash_block(block, _BREAK, _LETTER)
-            z = model.bias + float(known(table, np.unique(h))[1].sum())
+            z = model.bias + float(table[1][np.unique(known(table, h)[1])].sum())
+            # Code points: bytes that don't go on with one.
+            size = int(np.count_nonzero((np.frombuffer(block, np.uint8) & 0xC0) != 0x80))
             if (p := 1 / (1 + np.exp(-z))) >= least and len(h):
-                out.append((len(raw[:at].decode("utf-8", "replace")), len(raw[: end + 1].decode("utf-8", "replace")), float(p)))
+                out.append((point, point + size, float(p)))
+            point += size
         at = end + 1
     return out
 
@@ -184,19 +192,30 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model:
     """Fits on a bounded sample of the labelled rows that aren't held out: those of least hash, at most max_toxic and
-    max_clean. Of conflicting labels of a document the highest counts; labels without a document or value don't."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    have = docs.where("doc_id is not null").select("doc_id").distinct()
-    known = known.join(have, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    max_clean, and of either as far as max_bytes of texts go. Of conflicting labels of a document the highest counts;
+    labels without a document or value don't. Of repeated rows one text counts. Without labels: no word has a weight."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("_y"))
+    known = known.where(F.col("_y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("_y").alias("y"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("size"))
+    known = stored(known.join(sizes, "doc_id").withColumn("h", F.xxhash64("doc_id")), "labelled")
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
-    picked = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most).select("doc_id", "y").collect() for y, most in ((1, max_toxic), (0, max_clean))]
+    picked = []
+    for y, most in ((1, max_toxic), (0, max_clean)):
+        own, left = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most).select("doc_id", "y", "size").collect(), max_bytes
+        picked.append([])
+        for r in own:
+            left -= r["size"]
+            if left >= 0:
+                picked[-1].append((r["doc_id"], r["y"]))
     if not any(picked):
         return Model(np.empty(0, np.uint64), np.empty(0), -8.0)
-    ids = docs.sparkSession.createDataFrame([tuple(r) for p in picked for r in p], "doc_id long, y int")
+    ids = docs.sparkSession.createDataFrame([r for p in picked for r in p], "doc_id long, y int")
     clean = max(1.0, n.get(0, 0) / max(1, len(picked[1]))) / max(1.0, n.get(1, 0) / max(1, len(picked[0])))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most max_toxic + max_clean ids
+    # At most max_toxic + max_clean ids; of rows with one id the text of the greatest digest, whatever their order.
+    sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max_by("text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, y, t or "") for b in batches for i, t, y in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y")], strict=True))
@@ -212,11 +231,15 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted. Scores come from the text alone; null counts as empty."""
+    """Per row of docs: doc_id, held_out, score, predicted. Scores come from the text alone; null counts as empty.
+
+    Rows don't meet: repeats score alike, ties need nothing, an empty table gives none. Texts are scored in runs of a
+    few MB, a very long one in blocks that end at sentences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in sliced(batches):
             s = scores(model, [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], table)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -224,17 +247,17 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
     return rows.mapInArrow(run, SCORED)
 
 
-def offending_sentences(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
+def offending_sentences(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """A row for each sentence that scores least or more: doc_id, start, end (code points), score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(i, *x) for i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for x in offending(model, t or "", table, least)]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, end long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, end long, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -243,7 +266,7 @@ def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in sliced(batches):
             s = scores(model, [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()], table)
             yield batch.filter(pa.array(s < least))
 

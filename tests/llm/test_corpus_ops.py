@@ -225,6 +225,36 @@ def test_toxicity_words_of_near_hashes_keep_their_weights():
     assert abs(toxicity.scores(none, [b"alpha"], none.table())[0] - 1 / (1 + np.exp(3.0))) < 1e-6
 
 
+def test_toxicity_is_noisy_or_of_sentences():
+    """Scores by hand: a word counts once in a sentence, and harmless words elsewhere don't hide an insult."""
+    rng = random.Random(4)
+    names = ["idiot", "aa", "bb", "cc", "dd"]
+    weight = dict(zip(names, [6.0, -1.0, 0.5, 1.5, -3.0], strict=True))
+    keys = np.array([toxicity._hash_block(w.encode(), toxicity._BREAK, toxicity._LETTER)[1][0] for w in names])
+    model = toxicity.Model(keys, np.array([weight[w] for w in names]), -4.0)
+    long = "bb cc other. " * 90_000 + "idiot"  # beyond a block
+    texts = ["idiot" + " aa" * 9, "", ".", "IDIOT!dd\naa", long, "é idiot idiot. zz"]
+    texts += [" ".join(rng.choice([*names, "other", "x.", "y\n"]) for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    got = toxicity.scores(model, [t.encode() for t in texts], model.table())
+    for t, p in zip(texts, got, strict=True):
+        parts = [{w for w in "".join(c if c.isalpha() else " " for c in s).lower().split()} for s in t.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")]
+        parts = [x for x in parts if x] or [set()]
+        clean = 1.0
+        for x in parts:
+            clean *= 1 - 1 / (1 + np.exp(4.0 - sum(weight.get(w, 0) for w in x)))
+        assert abs(p - (1 - clean)) < 1e-5, t[:50]
+    assert [x[:2] for x in toxicity.offending(model, "é idiot idiot. zz", model.table())] == [(0, 14)]
+    assert got[0] > 0.5
+
+
+def test_toxicity_on_odd_and_empty_tables(spark, odd, none):
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(odd.withColumnsRenamed({"doc_id": "i", "text": "t"}).withColumn("y", odd.n_chars), lab, id_col="i", text_col="t")
+    assert len(model.keys) and toxicity.offending_sentences(odd, model).columns == ["doc_id", "start", "end", "score"]
+    assert toxicity.offending_sentences(none, model).count() == 0 and toxicity.clean_documents(none, model).count() == 0
+    assert len(toxicity.train(none, lab).keys) == 0
+
+
 def test_warc(spark, tmp_path):
     rng = random.Random(2)
     long = ["<p>" + "x" * n + "\r\n\r\né</p>" for n in (99, 150, 300)]

@@ -43,7 +43,7 @@ def test_gif_frames_disposal_and_transparency(spark):
     data = gif.write_gif([(one, 4), (two, 2), (two, 2)], 4, 4, palette, delays=[5, 7, 9], extras=[{"disposal": 1}, {"left": 1, "top": 1, "width": 2, "transparent": 0, "disposal": 2}, {"left": 0, "top": 0, "width": 2, "transparent": 2, "disposal": 3}])
     w, h, frames = gif.read_gif(data)
     assert (w, h, [f.delay_ms for f in frames]) == (4, 4, [50, 70, 90])
-    shown = list(gif.composed(w, h, frames))
+    shown = [c.copy() for c in gif.composed(w, h, frames)]
     assert shown[1][1, 1, :3].tolist() == [255, 0, 0] and shown[1][1, 2, :3].tolist() == [0, 255, 0]
     assert shown[2][2, 2, 3] == 0 and shown[2][0, 0, :3].tolist() == [0, 0, 0] and shown[2][0, 1, :3].tolist() == [255, 0, 0]
     media = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"junk")), (3, None)], "media_id long, media binary")
@@ -52,6 +52,17 @@ def test_gif_frames_disposal_and_transparency(spark):
     assert rows[0]["histogram"][48] == 16 and rows[3]["error"]
 
 
+def test_payload_goes_through_canvas_and_transparency(none):
+    for payload in (b"ab c" * 48 * 9000, bytes(range(256)) * 6000, b" " * 192, "é".encode() * 96 * 1000):
+        media = gif.encode_payload(payload)
+        w, h, frames = gif.read_gif(media)
+        assert gif.decode_payload(media)[0] == payload
+        assert gif.decode_payload(media)[1].startswith(f"{len(frames)}f:{40 * len(frames)}ms:")
+        assert any(f.transparent is not None for f in frames) == (255 not in payload and len(frames) > 1)
+        assert {f.disposal for f in frames} == ({1} if len(frames) < 8 else {1, 2})
+    assert gif.frames(none.selectExpr("doc_id media_id", "cast(text as binary) media")).count() == 0
+
+
 @pytest.mark.parametrize("data", [b"", b"a", b"ab" * 5000, bytes(range(256)) * 40, b"\0" * 20000])
 def test_lzw(data):
     assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
@@ -78,7 +89,7 @@ def test_bpe_stream_is_stable_and_bounded():
     for text in ("hello world it's <|endoftext|> 12345 " * 30, "x" * 3000, "a1b2" * 400 + " " * 900 + "end", "é数据😀" * 300):
         for size in (1, 7, 64):
             chunks = [text[i : i + size] for i in range(0, len(text), size)]
-            assert list(own.encode_stream(chunks)) == lib.encode(text, add_special_tokens=False).ids
+            assert [i for ids in own.encode_stream(chunks) for i in ids] == lib.encode(text, add_special_tokens=False).ids
     assert own.decode([own.single[0xC3]]) == "�"
 
 
