@@ -4,6 +4,8 @@ Texts with equal shingle sets become one class. Classes that share a band of Min
 a bucket each class is compared with the bucket's most central class; what that leaves apart is compared throughout
 in small buckets, and in large ones dealt anew by differences from the consensus. b-bit signatures (4 low bits a
 minimum, 16 lanes a long) give a collision-corrected estimate by bit counts; what may pass is confirmed on full sets.
+Where many pairs meet, parity bitmaps of the sets bound their difference from below, so that pairs which can't be
+linked aren't made into rows (Sandes et al. 2020).
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ PLACE = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(SHINGLE)],
 SLACK = 0.17
 #: Buckets up to this many classes are compared throughout if their components differ.
 SMALL = 64
+#: Parts that the members of a crowded bucket are dealt into where they meet what there is one of a bucket.
+PARTS = 64
+#: Longs of the parity bitmap of a set: bit h(e) is flipped by each element e.
+PARITY = 16
 #: Up to this many ids are broadcast (8 bytes each), more are joined by a shuffle.
 FEW_IDS = 200_000
 
@@ -67,12 +73,18 @@ def packed(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes.reshape(LONGS, LANES) << shifts, axis=1).view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, cls binary, bands array<long>, sig array<long>"
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY longs: bits flipped by each element, at ten bits of its hash."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+SIGNATURE = "doc_id long, n_shingles long, cls binary, bands array<long>, sig array<long>, bits array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        n, cls, bands, sigs = [], [], [], []
+        n, cls, bands, sigs, bits = [], [], [], [], []
         for s in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(s))
             cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -81,10 +93,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mixed((mixed(m.reshape(BANDS, ROWS).astype(np.uint64)) * ROW_TIMES).sum(axis=1, dtype=np.uint64) + SALT)
                 bands.append(keys.view(np.int64))
                 sigs.append(packed(m))
+                bits.append(parity(s))
             else:
                 bands.append(None)
                 sigs.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "bands", "sig"])
+                bits.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(x, pa.list_(pa.int64())) for x in (sigs, bits)]], names=["doc_id", "n_shingles", "cls", "bands", "sig", "bits"])
 
 
 def linked(i: int, a: int, b: int, percent: int = 85) -> bool:
@@ -111,6 +125,13 @@ def estimate(x: str = "sig_a", y: str = "sig_b"):
     return F.expr(f"((1 - ({differ}) / {MINIMA}D) - {1 / (1 << BITS)}D) / {1 - 1 / (1 << BITS)}D")
 
 
+def may_link(percent: int, x: str = "_a", y: str = "_b"):
+    """Whether sets may be linked, by sizes and parity bitmaps: bits that differ are no more than elements that only one
+    of the sets has, so no link is lost."""
+    apart = f"aggregate(zip_with(bits{x}, bits{y}, (p, q) -> bit_count(p ^ q)), 0L, (n, v) -> n + v)"
+    return F.expr(f"100 * (size{x} + size{y} - {apart}) >= {percent} * (size{x} + size{y} + {apart})")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): the least node that each node reaches, for nodes of edges.
 
@@ -165,7 +186,13 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["center", "node", "size", "elements"])
 
 
-def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_bucket(rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+    """rows(bucket, node, ...) joined with one row a bucket, which goes to PARTS parts, so that no bucket is in one task."""
+    parts = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).join(parts, ["bucket", "_part"], how).drop("_part")
+
+
+def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """crowded(bucket, center, node, root) -> links(a, b) of different roots, and (bucket, center, node) still to do.
 
     Sets are held as what they have different from their bucket's consensus (what most of it has; found as differences
@@ -183,10 +210,11 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
     parts = full.select("center", "node", "text_c", "text_n").mapInArrow(_differences, "center long, node long, size long, elements array<long>")
     held = crowded.join(parts.dropDuplicates(["center", "node"]), ["center", "node"])
-    most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().where(f"2 * count > {SMALL}")
+    most = most.join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     flips = most.where("2 * count > n").groupBy("bucket").agg(F.collect_list("e").alias("flip"))
     flip = F.coalesce("flip", F.array().cast("array<long>"))
-    held = held.join(flips, "bucket", "left").select("bucket", "node", "root", "size", F.concat(F.array_except("elements", flip), F.array_except(flip, "elements")).alias("elements"))
+    held = _by_bucket(held, flips, "left").select("bucket", "node", "root", "size", F.concat(F.array_except("elements", flip), F.array_except(flip, "elements")).alias("elements"))
     held = stored(held, "parts")
 
     def linked_sets(x: str, y: str):
@@ -197,7 +225,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     excess = lambda x: f"{100 + percent} * size(elements{x}) - {100 - percent} * size{x}"
     mains = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "size", "elements"), F.struct(F.expr(excess("")), "node")).alias("m"))
     mains = mains.select("bucket", F.col("m.node").alias("main"), F.col("m.root").alias("root_m"), F.col("m.size").alias("size_m"), F.col("m.elements").alias("elements_m"))
-    seen = held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}).join(mains, "bucket")
+    seen = _by_bucket(held.withColumnsRenamed({"size": "size_n", "elements": "elements_n"}), mains)
     seen = seen.withColumn("near", linked_sets("n", "m")).withColumn("apart", (F.col("root") != F.col("root_m")) & ~F.col("near"))
     far = F.expr(f"{100 + percent} * size(elements_n) > {100 - percent} * (size_n + size_m + size(elements_m))")
     ahead = F.expr(f"size(elements_n) - (size(elements_n) * {percent} div {100 + percent})")
@@ -217,12 +245,12 @@ def _finer(crowded: DataFrame, whole: DataFrame, percent: int) -> tuple[DataFram
     # One edit makes several elements that the same sets have: one of them stands for all.
     both = both.groupBy("bucket", "who", "n_ahead", "n_wide", "n_far", "n_odd", "most").agg(F.min("e").alias("e")).select("bucket", "e", "most")
     ranked = stored(ranked.join(both, ["bucket", "e"]), "finer")
-    small = ranked.where(F.col("most") <= SMALL)
-    x = small.where("ahead or wide").select("bucket", "e", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), F.col("ahead").alias("ahead_a"), F.col("wide").alias("wide_a"))
-    y = small.where("far or odd").select("bucket", "e", F.col("node").alias("b"), F.col("root").alias("root_b"), "far", "odd", F.col("ahead").alias("ahead_b"))
+    small = ranked.where(F.col("most") <= SMALL).join(marks, "node")
+    renamed = lambda df, c: df.withColumnsRenamed({n: f"{n}_{c}" for n in df.columns if n not in ("bucket", "e", "most")}).withColumnRenamed(f"node_{c}", c)
+    x, y = renamed(small.where("ahead or wide"), "a"), renamed(small.where("far or odd"), "b")
     # Prefixes of two far sets must meet; one of a set that isn't far may meet any element of a far one.
-    meets = "root_a != root_b and ((far and ahead_a and (ahead_b or not far_a)) or (odd and wide_a))"
-    met = x.join(y, ["bucket", "e"]).where(meets).select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meets = F.expr("root_a != root_b and ((far_b and ahead_a and (ahead_b or not far_a)) or (odd_b and wide_a))") & may_link(percent)
+    met = x.join(y.drop("most"), ["bucket", "e"]).where(meets).select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: held.select("bucket", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("elements").alias(f"elements_{c}"))
     found = met.join(side("a"), ["bucket", "a"]).join(side("b"), ["bucket", "b"]).where(linked_sets("a", "b"))
     again = ranked.where(F.col("most") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
@@ -234,6 +262,7 @@ def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
     """(node, root) for nodes with links among those that share a bucket of rows(bucket, node)."""
     root = F.coalesce("root", "node").alias("root")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    marks = reps.select("node", F.col("n_shingles").alias("size"), "bits")
     multi = stored(rows.join(sizes, "bucket"), "buckets")
     multi = stored(multi.join(multi.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored")
     nodes = multi.select(F.col("node").alias("doc_id")).distinct()
@@ -247,8 +276,9 @@ def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
     left = stored(rooted.join(apart, "bucket").join(leaders, "bucket"), "left")
     few = left.where(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    tried = few.select("bucket", F.col("node").alias("a"), "root").join(other, "bucket").where("a < b and root != root_b").select("a", "b").distinct()
+    few = few.join(marks, "node").select("bucket", "node", "root", "size", "bits")
+    one = lambda c: few.toDF("bucket", c, f"root_{c}", f"size_{c}", f"bits_{c}")
+    tried = one("a").join(one("b"), "bucket").where(F.expr("a < b and root_a != root_b") & may_link(percent)).select("a", "b").distinct()
     links = _confirmed(tried, reps, whole, percent)
     if not links.isEmpty():
         comps = _merged(comps, links)
@@ -259,7 +289,7 @@ def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
         crowded = stored(crowded.join(joint, "center").select(F.col("to").alias("center"), "node").distinct(), "crowded")
     crowded = crowded.select(F.col("center").alias("bucket"), "center", "node")
     while not crowded.isEmpty():
-        links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, percent)
+        links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, marks, percent)
         if not links.isEmpty():
             comps = _merged(comps, links)
     return comps
@@ -272,14 +302,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with nothing. A row without doc_id is linked through an equal set only; its component_id is the least doc_id of
     that, else null, and it's kept then. Rows that share a doc_id and a text are kept alike.
 
-    Work follows the number of rows: copies fold into classes first; a bucket gives each class one partner, the class
-    that meets most others in its buckets. Buckets up to SMALL whose classes are still of several components are
-    compared throughout; larger ones are dealt into finer ones by what their classes have different from most,
-    again and again until none is left, so no bucket is cut.
+    Ties don't matter, an empty table gives none, other columns aren't looked at. Work follows the number of rows: copies
+    fold into classes first; a bucket gives each class one partner, the class that meets most others in its buckets.
+    Buckets up to SMALL whose classes are still of several components are compared throughout, at most SMALL partners a
+    class; larger ones are dealt into finer ones by what their classes have different from most, again and again until
+    none is left. Either way finds all links of a bucket: SMALL decides on the work alone, see _finer.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signatures, SIGNATURE), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = stored(classes, "classes")
     rows = reps.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     comps = _components(rows, reps, texts.where("doc_id is not null"), percent)

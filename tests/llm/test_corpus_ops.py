@@ -132,10 +132,12 @@ def finer_components(spark, rows):
     """{doc_id: component} by _finer alone, all rows in one bucket, each of its own component at first."""
     whole = spark.createDataFrame(rows, "doc_id long, text string")
     left, links = spark.createDataFrame([(1, rows[0][0], i) for i, _ in rows], "bucket long, center long, node long"), set()
+    sets = [near_dedup.shingle_sets([t]).__next__() for _, t in rows]
+    marks = spark.createDataFrame([(i, len(s), near_dedup.parity(s).tolist()) for (i, _), s in zip(rows, sets, strict=True)], "node long, size long, bits array<long>")
     while not left.isEmpty():
         root = {i: i for i, _ in rows} | ({r["node"]: r["root"] for r in near_dedup.connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()} if links else {})
         now = spark.createDataFrame([(r["bucket"], r["center"], r["node"], root[r["node"]]) for r in left.collect()], "bucket long, center long, node long, root long")
-        found, left = near_dedup._finer(now, whole, 85)
+        found, left = near_dedup._finer(now, whole, marks, 85)
         links |= {(r["a"], r["b"]) for r in found.collect()}
     root = {i: i for i, _ in rows}
     while any(root[a] != root[b] for a, b in links):
@@ -168,6 +170,45 @@ def test_finer_with_deletions_and_insertions(spark, seed):
     assert finer_components(spark, rows) == components(rows)
 
 
+@pytest.mark.parametrize("n", [30, 300])
+def test_near_duplicates_of_unequal_sizes(spark, n):
+    """Of a text: one cut, one with a tail, linked with it alone; many with tails of their own; whatever the group's size."""
+    base = [f"w{k}" for k in range(1004)]
+    rows = [(0, " ".join(base[:-40])), (1, " ".join([*base, *[f"a{k}" for k in range(40)]])), (2, " ".join([*base, *[f"b{k}" for k in range(134)]]))]
+    rows += [(3 + i, " ".join([*base, *[f"t{i}x{k}" for k in range(45)]])) for i in range(n)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed):
+    """Sets of unequal sizes with cuts and additions; small and large buckets, whatever counts as small."""
+    rng, rows = random.Random(seed), []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(rng.choice([30, 120, 400]))]
+        for _ in range(rng.choice([20, 70])):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at, n = rng.choice([0, len(w), rng.randrange(len(w) + 1)]), rng.randint(1, max(1, len(base) // 14))
+                w[at : at + rng.choice([0, n])] = [f"e{rng.randrange(3)}x{k}" for k in range(rng.choice([0, n]))]
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    want = components(rows)
+    for small in (4, 64):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_parity_bounds_the_difference(spark):
+    rng = random.Random(2)
+    for n in (3, 50, 3000):
+        x, y = (np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for _ in range(2))
+        y = np.union1d(y[: n // 5], x[: n // 2])
+        differ = sum(int(a).bit_count() for a in (near_dedup.parity(x) ^ near_dedup.parity(y)).view(np.uint64))
+        assert differ <= len(np.setxor1d(x, y)) and (n > 100 or differ > 0.8 * len(np.setxor1d(x, y)))
+        assert not near_dedup.parity(x[:0]).any()
+
+
 def test_bbit_estimate(spark):
     rng = random.Random(3)
     a = [f"w{rng.randrange(9000)}" for _ in range(800)]
