@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import stored
 from skein.llm.license_rules import GATE, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +34,8 @@ def count_words(text: Column) -> Column:
 
 
 def detections(texts: DataFrame) -> DataFrame:
-    """texts(k, norm): a row for each rule match that stands: k, rule, label, priority, start, end (words).
+    """texts(k, norm): a row for each rule match that stands: k, rule, label, priority, start, end (words). k tells texts
+    apart. A rule's pattern is tried only where the literal that all its matches hold is.
 
     Of overlapping matches, one within another's span goes if its priority isn't higher; of equal spans and
     priorities the earlier rule stays. A text's matches are found and ordered in rows, so long texts don't pile up.
@@ -61,25 +63,25 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places of BASE phrases in the words. labels adds those of the rules that stand. score: 0 without labels,
-    half for base labels alone, else a quarter of the highest priority found, base at least. Null text: no words.
-    Only texts that pass the keyword gate are looked into, each distinct one once; copies may be a third of all rows.
+    half for base labels alone, else a quarter of the highest priority found, base at least. Null and empty texts: no
+    words. Repeated rows get the same; ties don't matter; an empty table gives none; other columns aren't looked at.
+    Only texts that pass the keyword gate are looked into. Rows are numbered and written once, so that copies of one
+    text, maybe a third of all rows, never meet; the matches of a long text are rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    gated = F.col("text").rlike(f"(?i)(?:{GATE})")
-    norm = F.when(gated, words_joined(F.col("text")))
-    rows = rows.select("doc_id", count_words(F.col("text")).cast("long").alias("n_words"), norm.alias("norm"))
+    norm = F.when(F.col("text").rlike(f"(?i)(?:{GATE})"), words_joined(F.col("text")))
+    rows = rows.select("doc_id", count_words(F.col("text")).cast("long").alias("n_words"), norm.alias("norm"), F.monotonically_increasing_id().alias("k"))
+    rows = stored(rows, "words")
     phrase = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     n_base = F.when(F.col("norm").isNotNull(), F.size(F.regexp_extract_all("norm", F.lit(phrase), F.lit(0)))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("n_base", n_base).withColumn("k", F.when(F.col("norm").isNotNull(), F.md5("norm")))
     found = F.col("n_base") > 0
     first = F.when(found, _blanks(F.split("norm", phrase, 2)[0]) - 1).cast("long")
-    last = F.when(found, _blanks(F.regexp_extract("norm", f"^(.*){phrase}", 1)) - 1).cast("long")
+    last = F.when(found, _blanks(F.regexp_extract("norm", f"(?s)^(.*){phrase}", 1)) - 1).cast("long")
     labels = F.array_compact(F.array(*[F.when(found & F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(name)) for p, name in BASE.items()]))
-    rows = rows.withColumns({"first_word": first, "last_word": last, "_base": F.array_sort(labels)})
-    texts = rows.where("k is not null").groupBy("k").agg(F.first("norm").alias("norm"))
-    by_text = detections(texts).groupBy("k").agg(F.collect_set("label").alias("_more"), F.max("priority").alias("_top"))
-    out = rows.drop("norm").join(by_text, "k", "left")
+    based = rows.withColumn("n_base", n_base).withColumns({"first_word": first, "last_word": last, "_base": F.array_sort(labels)}).drop("norm")
+    by_text = detections(rows.where("norm is not null").select("k", "norm")).groupBy("k").agg(F.collect_set("label").alias("_more"), F.max("priority").alias("_top"))
+    out = based.join(by_text, "k", "left")
     every = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.size("_base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.coalesce(F.col("_top") / 4.0, F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
