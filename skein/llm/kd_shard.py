@@ -121,18 +121,34 @@ def coordinates(rows: DataFrame, dims: dict[str, Column], row_hash: Column) -> D
     return rows.withColumns(out)
 
 
+def _copies_apart(rows: DataFrame) -> DataFrame:
+    """rows(_h, _row) with _h made different for rows that share it: by 0, 1, ... within them.
+
+    Which of equal rows gets which number follows the files, but the rows are equal. One may be a third of all, so
+    numbers come from parts of the copies.
+    """
+    again = stored(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "copies")
+    if again.isEmpty():
+        return rows.drop("_row")
+    same = rows.join(again, "_h", "left_semi").withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(1024)).cast("int"))
+    numbered = running_position(same, "_h", "_part", ["_row"]).withColumn("_h", F.when(F.col("place") > 0, F.xxhash64("_h", "place")).otherwise(F.col("_h")))
+    return stored(rows.join(again, "_h", "left_anti").drop("_row").unionByName(numbered.drop("_part", "place", "_row")), "shard")
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null).
 
     The law is bytes: the leaves' sizes come near equal, as near as single documents allow. Dimensions: length of
-    the text in characters, words' mean length (bytes a character), doc_id, source and language (as hashes that keep
-    equal values together). Null texts weigh 8; null values sort first. Repeated rows share every coordinate and
-    stay together. slot: 0, 1, ... within a shard, by hash bucket and doc_id.
+    the text in characters (its logarithm), source and language (as hashes that keep equal values together), doc_id.
+    Null and empty texts weigh 8; null values sort first. Ties of a dimension are told apart by a hash of the row, and
+    repeated rows by the number of the copy, so they divide like others. An empty table gives none; other columns aren't
+    looked at. slot: 0, 1, ... within a shard, by hash bucket and doc_id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(1 << 20)) if c in docs.columns else F.lit(0)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.length(text).alias("_len"), named("source").alias("_src"), named("lang").alias("_lang"))
-    rows = stored(rows.withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("size"), F.col("text_crc32"))), "shard")
+    rows = rows.withColumns({"_h": F.xxhash64(F.col("doc_id"), F.col("size"), F.col("text_crc32")), "_row": F.monotonically_increasing_id()})
+    rows = _copies_apart(stored(rows, "shard"))
     dims = {"_d0": F.log1p(F.col("_len")), "_d1": F.col("_src"), "_d2": F.col("_lang"), "_d3": F.col("doc_id")}
     rows = coordinates(rows, dims, F.col("_h"))
     leaves = build_tree(rows, list(dims), shards)
