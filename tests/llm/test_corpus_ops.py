@@ -341,3 +341,14 @@ def test_kd_shards_are_even(spark):
         weight[r["shard"]] += r["size"]
     mean = sum(weight.values()) / 24
     assert len(weight) == 24 and max(abs(w - mean) for w in weight.values()) < 0.05 * mean
+
+
+def test_kd_shards_divide_repeated_rows(spark):
+    rows = [(7, "a" * 500, "en", "s")] * 40 + [(i, "b" * 50, "en", "s") for i in range(100, 158)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    runs = [sorted(map(tuple, kd_shard.shard_documents(docs.repartition(n)).select("doc_id", "size", "shard", "slot").collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 98
+    weight = Counter()
+    for _, size, shard, _ in runs[0]:
+        weight[shard] += size
+    assert len(weight) == 24 and max(weight.values()) <= 3 * 508
