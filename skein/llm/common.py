@@ -30,11 +30,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/skein-scratch").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a fresh table in the shared folder and reads it back: lineage ends there and sizes are known."""
+#: Narrow rows that a file of a table of known size holds.
+FILE_ROWS = 500_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+    """Writes df to a fresh table in the shared folder and reads it back: lineage ends there and sizes are known.
+
+    rows: no more than these are expected; then no more files are written than they fill at per_file rows each.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

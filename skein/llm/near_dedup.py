@@ -132,13 +132,13 @@ def may_link(percent: int, x: str = "_a", y: str = "_b"):
     return F.expr(f"100 * (size{x} + size{y} - {apart}) >= {percent} * (size{x} + size{y} + {apart})")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """edges(a, b) -> (node, root): the least node that each node reaches, for nodes of edges.
 
     Large-star and small-star rounds (Kiveris et al. 2014); each halves the depth or better. Neighbours are only
-    reduced to their minimum, never gathered. Every round is written to the shared folder.
+    reduced to their minimum, never gathered. Every round is written to the shared folder. rows: edges at most.
     """
-    e = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -146,7 +146,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", rows)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
             break
@@ -154,24 +154,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of class numbers that are links: first by estimate, then on the full sets."""
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs(a, b) of class numbers, rows at most, that are links: first by estimate, then on the full sets."""
     sig = reps.select("node", "sig")
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(estimate() >= F.lit(percent / 100 - SLACK))
-    near = stored(near.select("a", "b"), "pairs")
+    near = stored(near.select("a", "b"), "pairs", rows)
     full = near.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_b").join(texts.toDF("a", "text_a"), "a")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "links")
+    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "links", rows)
 
 
-def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(comps: DataFrame | None, links: DataFrame, rows: int) -> DataFrame:
     """comps(node, root) after further links(a, b): components of the roots that links touch, put in for them."""
     if comps is None:
-        return stored(connected_components(links), "comps")
+        return stored(connected_components(links, rows), "comps", rows)
     side = lambda df, c: df.join(comps.toDF(c, "_r"), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
-    over = connected_components(side(side(links, "a"), "b")).toDF("_n", "_to")
+    over = connected_components(side(side(links, "a"), "b"), rows).toDF("_n", "_to")
     old = comps.join(over, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_to", "root").alias("root"))
     new = over.join(comps, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_to").alias("root"))
-    return stored(old.unionByName(new), "comps")
+    return stored(old.unionByName(new), "comps", rows)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _by_bucket(rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame
     return rows.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).join(parts, ["bucket", "_part"], how).drop("_part")
 
 
-def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """crowded(bucket, center, node, root) -> links(a, b) of different roots, and (bucket, center, node) still to do.
 
     Sets are held as what they have different from their bucket's consensus (what most of it has; found as differences
@@ -215,7 +215,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int)
     flips = most.where("2 * count > n").groupBy("bucket").agg(F.collect_list("e").alias("flip"))
     flip = F.coalesce("flip", F.array().cast("array<long>"))
     held = _by_bucket(held, flips, "left").select("bucket", "node", "root", "size", F.concat(F.array_except("elements", flip), F.array_except(flip, "elements")).alias("elements"))
-    held = stored(held, "parts")
+    held = stored(held, "parts", rows, 20_000)
 
     def linked_sets(x: str, y: str):
         apart = F.size(f"elements_{x}") + F.size(f"elements_{y}") - 2 * F.size(F.array_intersect(f"elements_{x}", f"elements_{y}"))
@@ -231,7 +231,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int)
     ahead = F.expr(f"size(elements_n) - (size(elements_n) * {percent} div {100 + percent})")
     wide = F.expr(f"size(elements_n) - (({excess('_n')} - ({excess('_m')})) div {200 + 2 * percent})")
     seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": ahead, "longer": wide})
-    seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "main", "root_m"), "seen")
+    seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "main", "root_m"), "seen", rows)
     links = seen.where("near and root != root_m").select(F.col("node").alias("a"), F.col("main").alias("b"))
     each = seen.join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])
     often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("far").alias("n_far"), F.count_if("odd").alias("n_odd"))
@@ -244,7 +244,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int)
     both = both.withColumn("most", F.greatest(F.least("n_ahead", "n_far"), F.least("n_wide", "n_odd"))).where("most > 0 and r0 != r1")
     # One edit makes several elements that the same sets have: one of them stands for all.
     both = both.groupBy("bucket", "who", "n_ahead", "n_wide", "n_far", "n_odd", "most").agg(F.min("e").alias("e")).select("bucket", "e", "most")
-    ranked = stored(ranked.join(both, ["bucket", "e"]), "finer")
+    ranked = stored(ranked.join(both, ["bucket", "e"]), "finer", rows and 32 * rows)
     small = ranked.where(F.col("most") <= SMALL).join(marks, "node")
     renamed = lambda df, c: df.withColumnsRenamed({n: f"{n}_{c}" for n in df.columns if n not in ("bucket", "e", "most")}).withColumnRenamed(f"node_{c}", c)
     x, y = renamed(small.where("ahead or wide"), "a"), renamed(small.where("far or odd"), "b")
@@ -255,43 +255,44 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int)
     found = met.join(side("a"), ["bucket", "a"]).join(side("b"), ["bucket", "b"]).where(linked_sets("a", "b"))
     again = ranked.where(F.col("most") > SMALL).select(F.xxhash64("bucket", "e").alias("bucket"), "node").distinct()
     again = again.join(again.groupBy("bucket").agg(F.min("node").alias("center")), "bucket")
-    return stored(links.unionByName(found.select("a", "b")).distinct(), "links"), stored(again, "again")
+    return stored(links.unionByName(found.select("a", "b")).distinct(), "links", rows), stored(again, "again", rows and 32 * rows)
 
 
-def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) for nodes with links among those that share a bucket of rows(bucket, node)."""
+def _components(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, classes: int) -> DataFrame | None:
+    """(node, root) for nodes with links among those that share a bucket of rows(bucket, node); classes: nodes."""
     root = F.coalesce("root", "node").alias("root")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     marks = reps.select("node", F.col("n_shingles").alias("size"), "bits")
-    multi = stored(rows.join(sizes, "bucket"), "buckets")
-    multi = stored(multi.join(multi.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored")
+    multi = stored(rows.join(sizes, "bucket"), "buckets", BANDS * classes)
+    many = multi.count()
+    multi = stored(multi.join(multi.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored", many)
     nodes = multi.select(F.col("node").alias("doc_id")).distinct()
     # Texts that will be compared are picked out once, so whole texts are shuffled once at most.
     whole = stored(texts.join(F.broadcast(nodes) if nodes.count() <= FEW_IDS else nodes, "doc_id", "left_semi"), "texts")
     leaders = multi.groupBy("bucket").agg(F.max(F.struct(F.col("score"), (-F.col("node")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("center"))
     star = multi.join(leaders, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = _confirmed(star, reps, whole, percent)
-    comps = _merged(None, links)
+    links = _confirmed(star, reps, whole, percent, many)
+    comps = _merged(None, links, many)
     rooted = multi.join(comps, "node", "left").select("bucket", "node", "n", root)
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    left = stored(rooted.join(apart, "bucket").join(leaders, "bucket"), "left")
+    left = stored(rooted.join(apart, "bucket").join(leaders, "bucket"), "left", many)
     few = left.where(F.col("n") <= SMALL)
     few = few.join(marks, "node").select("bucket", "node", "root", "size", "bits")
     one = lambda c: few.toDF("bucket", c, f"root_{c}", f"size_{c}", f"bits_{c}")
     tried = one("a").join(one("b"), "bucket").where(F.expr("a < b and root_a != root_b") & may_link(percent)).select("a", "b").distinct()
-    links = _confirmed(tried, reps, whole, percent)
+    links = _confirmed(tried, reps, whole, percent, many)
     if not links.isEmpty():
-        comps = _merged(comps, links)
+        comps = _merged(comps, links, many)
     # Buckets that share classes are dealt anew together, so that a pair isn't met again in each.
     crowded = left.where(F.col("n") > SMALL).select("center", "node").distinct()
     for _ in range(2):
         joint = crowded.join(crowded.groupBy("node").agg(F.min("center").alias("to")), "node").groupBy("center").agg(F.min("to").alias("to"))
-        crowded = stored(crowded.join(joint, "center").select(F.col("to").alias("center"), "node").distinct(), "crowded")
+        crowded = stored(crowded.join(joint, "center").select(F.col("to").alias("center"), "node").distinct(), "crowded", many)
     crowded = crowded.select(F.col("center").alias("bucket"), "center", "node")
-    while not crowded.isEmpty():
-        links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, marks, percent)
+    while (rest := crowded.count()) > 0:
+        links, crowded = _finer(crowded.join(comps, "node", "left").select("bucket", "center", "node", root), whole, marks, percent, rest)
         if not links.isEmpty():
-            comps = _merged(comps, links)
+            comps = _merged(comps, links, many)
     return comps
 
 
@@ -311,9 +312,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signatures, SIGNATURE), "signed")
     classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    reps = stored(classes, "classes")
+    count = signed.count()
+    reps = stored(classes, "classes", count, 50_000)
     rows = reps.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    comps = _components(rows, reps, texts.where("doc_id is not null"), percent)
+    comps = _components(rows, reps, texts.where("doc_id is not null"), percent, count)
     named = reps.select("cls", "node").join(comps, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
