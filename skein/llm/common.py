@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Narrow rows that a file of a table of known size holds.
-FILE_ROWS = 500_000
+FILE_ROWS = 250_000
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:

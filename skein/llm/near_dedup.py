@@ -128,7 +128,7 @@ def estimate(x: str = "sig_a", y: str = "sig_b"):
 def may_link(percent: int, x: str = "_a", y: str = "_b"):
     """Whether sets may be linked, by sizes and parity bitmaps: bits that differ are no more than elements that only one
     of the sets has, so no link is lost."""
-    apart = f"aggregate(zip_with(bits{x}, bits{y}, (p, q) -> bit_count(p ^ q)), 0L, (n, v) -> n + v)"
+    apart = "(" + " + ".join(f"bit_count(bits{x}[{i}] ^ bits{y}[{i}])" for i in range(PARITY)) + ")"
     return F.expr(f"100 * (size{x} + size{y} - {apart}) >= {percent} * (size{x} + size{y} + {apart})")
 
 
