@@ -32,8 +32,9 @@ SALT = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 PLACE = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 #: Pairs whose estimate is below threshold - SLACK are let go: more than 6 deviations of an estimate over 168 minima.
 SLACK = 0.17
-#: Buckets up to this many classes are compared throughout if their components differ.
-SMALL = 64
+#: Buckets up to this many classes are compared throughout by bitmaps if their components differ: at most so many
+#: comparisons a row, whatever the size of a group. Larger ones are dealt anew, which finds the same links.
+SMALL = 512
 #: Parts that the members of a crowded bucket are dealt into where they meet what there is one of a bucket.
 PARTS = 64
 #: Longs of the parity bitmap of a set: bit h(e) is flipped by each element e.
@@ -210,7 +211,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int,
     full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
     parts = full.select("center", "node", "text_c", "text_n").mapInArrow(_differences, "center long, node long, size long, elements array<long>")
     held = crowded.join(parts.dropDuplicates(["center", "node"]), ["center", "node"])
-    most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().where(f"2 * count > {SMALL}")
+    most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().where("count > 1")
     most = most.join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     flips = most.where("2 * count > n").groupBy("bucket").agg(F.collect_list("e").alias("flip"))
     flip = F.coalesce("flip", F.array().cast("array<long>"))
@@ -230,15 +231,19 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int,
     far = F.expr(f"{100 + percent} * size(elements_n) > {100 - percent} * (size_n + size_m + size(elements_m))")
     ahead = F.expr(f"size(elements_n) - (size(elements_n) * {percent} div {100 + percent})")
     wide = F.expr(f"size(elements_n) - (({excess('_n')} - ({excess('_m')})) div {200 + 2 * percent})")
-    seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": ahead, "longer": wide})
-    seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "main", "root_m"), "seen", rows)
+    seen = seen.withColumns({"far": F.col("apart") & far, "odd": F.col("apart") & ~far, "prefix": ahead, "longer": wide, "width": F.size("elements_n")})
+    seen = stored(seen.select("bucket", "node", "root", "near", "far", "odd", "prefix", "longer", "width", "main", "root_m"), "seen", rows)
     links = seen.where("near and root != root_m").select(F.col("node").alias("a"), F.col("main").alias("b"))
     each = seen.join(held.select("bucket", "node", F.explode("elements").alias("e")), ["bucket", "node"])
-    often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("far").alias("n_far"), F.count_if("odd").alias("n_odd"))
-    order = F.row_number().over(Window.partitionBy("bucket", "node").orderBy("often", "e"))
-    ranked = each.join(often, ["bucket", "e"]).withColumn("_n", order)
+    # What a set shares with one of another component, of which one is apart. All other elements come first in order,
+    # so they needn't be ranked one by one.
+    often = each.groupBy("bucket", "e").agg(F.count("*").alias("often"), F.count_if("far").alias("n_far"), F.count_if("odd").alias("n_odd"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    often = often.where("often > 1 and n_far + n_odd > 0 and r0 != r1").drop("r0", "r1")
+    own = Window.partitionBy("bucket", "node")
+    place = F.row_number().over(own.orderBy("often", "e")) + F.col("width") - F.count("*").over(own)
+    ranked = each.join(often, ["bucket", "e"]).withColumn("_n", place)
     ranked = ranked.withColumn("ahead", (F.col("_n") <= F.col("prefix")) & (F.col("n_far") > 0)).withColumn("wide", (F.col("_n") <= F.col("longer")) & (F.col("n_odd") > 0))
-    ranked = ranked.where("often > 1 and (ahead or wide or far or odd)").select("bucket", "e", "node", "root", "ahead", "wide", "far", "odd")
+    ranked = ranked.where("ahead or wide or far or odd").select("bucket", "e", "node", "root", "ahead", "wide", "far", "odd")
     counts = [F.count_if(c).alias(f"n_{c}") for c in ("ahead", "wide", "far", "odd")]
     both = ranked.groupBy("bucket", "e").agg(*counts, F.min("root").alias("r0"), F.max("root").alias("r1"), F.bit_xor(F.xxhash64("node", "ahead", "wide")).alias("who"))
     both = both.withColumn("most", F.greatest(F.least("n_ahead", "n_far"), F.least("n_wide", "n_odd"))).where("most > 0 and r0 != r1")

@@ -114,8 +114,9 @@ def test_near_duplicates(odd, none):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_in_crowded_buckets(spark, seed):
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, seed):
     """Edits of one text, many of which lie on either side of the threshold to one another."""
+    monkeypatch.setattr(near_dedup, "SMALL", 32)
     rng = random.Random(seed)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = []
@@ -158,7 +159,8 @@ def test_finer_meets_sets_that_share_no_difference(spark):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_finer_with_deletions_and_insertions(spark, seed):
+def test_finer_with_deletions_and_insertions(spark, monkeypatch, seed):
+    monkeypatch.setattr(near_dedup, "SMALL", 12)
     rng = random.Random(seed)
     base, rows = [f"w{k}" for k in range(300)], []
     for i in range(90):
@@ -171,8 +173,9 @@ def test_finer_with_deletions_and_insertions(spark, seed):
 
 
 @pytest.mark.parametrize("n", [30, 300])
-def test_near_duplicates_of_unequal_sizes(spark, n):
+def test_near_duplicates_of_unequal_sizes(spark, monkeypatch, n):
     """Of a text: one cut, one with a tail, linked with it alone; many with tails of their own; whatever the group's size."""
+    monkeypatch.setattr(near_dedup, "SMALL", 64)
     base = [f"w{k}" for k in range(1004)]
     rows = [(0, " ".join(base[:-40])), (1, " ".join([*base, *[f"a{k}" for k in range(40)]])), (2, " ".join([*base, *[f"b{k}" for k in range(134)]]))]
     rows += [(3 + i, " ".join([*base, *[f"t{i}x{k}" for k in range(45)]])) for i in range(n)]
