@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,13 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir, or that was set with setCheckpointDir. With
-    neither, the warehouse's folder, which is shared by contract, serves: no machine-local one is made up."""
+    """The shared folder that the session names in spark.checkpoint.dir, or that was set with setCheckpointDir.
+
+    With neither, a session in one process (master local, as in tests) gets a temporary folder; on a cluster, whose
+    machines don't share such a one, that's an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (have.get() if have.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/skein-scratch").rstrip("/")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 #: Narrow rows that a file of a table of known size holds.

@@ -21,6 +21,8 @@ from skein.llm.wordhash import mixed
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_103_515_245, 747_796_405)
 WINDOW, KEPT = 12, 64
+#: Powers that a worker keeps for each base, 8 bytes each; those of longer texts are made for the text.
+KEPT_POWERS = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -32,13 +34,12 @@ def _mod(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n-1 (at least), kept and doubled as texts ask for more."""
-    p = _POWERS.get(base)
-    if p is None:
-        p = np.ones(1, np.uint64)
+    """base^0 .. base^n-1 (at least), doubled as texts ask for more; up to KEPT_POWERS of them are kept."""
+    p = _POWERS.get(base, np.ones(1, np.uint64))
     while len(p) < n:
         p = np.concatenate([p, _mod(p * np.uint64(pow(base, len(p), int(PRIME))))])
-    _POWERS[base] = p
+        if len(p) <= KEPT_POWERS:
+            _POWERS[base] = p
     return p
 
 

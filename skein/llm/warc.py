@@ -134,17 +134,20 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = False) -> D
 
 def followed(found: DataFrame) -> DataFrame:
     """Records with the payload digest and size of revisits taken from the response that they refer to."""
+    others, again = found.where("record_type <> 'revisit'"), found.where("record_type = 'revisit'")
     cited = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("digest").alias("_d"), F.col("payload_bytes").alias("_n"))
-    wanted = found.where("record_type = 'revisit'").select("refers_to_id").distinct()
+    wanted = again.select("refers_to_id").distinct()
     cited = cited.join(wanted, "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
-    out = found.join(cited, "refers_to_id", "left")
-    return out.withColumn("digest", F.coalesce("digest", "_d")).withColumn("payload_bytes", F.coalesce("payload_bytes", "_n")).drop("_d", "_n")
+    # Records that refer to nothing stay where they are: they'd all share a null key.
+    again = again.join(cited, "refers_to_id", "left").withColumn("digest", F.coalesce("digest", "_d")).withColumn("payload_bytes", F.coalesce("payload_bytes", "_n"))
+    return others.unionByName(again.select(*found.columns))
 
 
 def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archives pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Repeated rows are alike; a null page_id sorts after none and is never referred to. path: where the archives stay
+    Null and empty html: payloads of no bytes. Repeated rows are alike; a null page_id sorts after none and is never
+    referred to; an empty table gives none; other columns aren't looked at. path: where the archives stay
     (by default a fresh folder under the shared one).
     """
     spark = pages.sparkSession
