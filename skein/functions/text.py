@@ -50,6 +50,9 @@ DISCORD = r"(?<!\w)(?:https?://)?(?:www\.)?((?:(?:(?:canary|ptb).)?(?:discord|di
 PHONE = "(" + "|".join(rf"(00|\+)?{p}" for p in PHONES) + ")"
 NETWORKS = {"linkedIns": LINKEDIN, "twitters": TWITTER, "instagrams": INSTAGRAM, "facebooks": FACEBOOK, "youtubes": YOUTUBE, "tiktoks": TIKTOK, "pinterests": PINTEREST, "discords": DISCORD}
 
+#: What any handle of a network holds.
+HOSTS = {"linkedIns": ("linkedin.com/",), "twitters": ("com/",), "instagrams": ("instagram.com/", "instagr.am/"), "facebooks": ("facebook", "fb"), "youtubes": ("youtu.be/", "youtube.com"), "tiktoks": ("tiktok.com/",), "pinterests": ("pinterest",), "discords": ("discord",)}
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -60,13 +63,22 @@ def all_matches(text: Column | str, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _if_any(text: Column, literals: tuple[str, ...], found: Column) -> Column:
+    """found where the text holds one of literals (in either case), else nothing: a cheap test before a costly pattern."""
+    low = F.lower(text)
+    some = F.lit(False)
+    for x in literals:
+        some = some | F.contains(low, F.lit(x))
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+
+
 def extract_urls(text: Column | str, commas: bool = False) -> Column:
     """URLs in order, line by line."""
     return all_matches(text, "(?iu)" + (URL_WITH_COMMAS if commas else URL_NO_COMMAS))
 
 
 def emails(text: Column | str) -> Column:
-    return all_matches(text, "(?i)" + EMAIL)
+    return _if_any(_c(text), ("@",), all_matches(text, "(?i)" + EMAIL))
 
 
 def emails_from_urls(urls: Column | str) -> Column:
@@ -76,7 +88,8 @@ def emails_from_urls(urls: Column | str) -> Column:
 
 def phones(text: Column | str) -> Column:
     """Numbers of at least PHONE_MIN_DIGITS digits that aren't dates."""
-    return F.filter(all_matches(text, "(?i)" + PHONE), lambda p: (F.length(F.regexp_replace(p, "[^0-9]", "")) >= PHONE_MIN_DIGITS) & ~p.rlike(PHONE_SKIP))
+    # Every number begins with one of these, so the alternatives aren't tried elsewhere.
+    return F.filter(all_matches(text, "(?=[0-9+(])" + PHONE), lambda p: (F.length(F.regexp_replace(p, "[^0-9]", "")) >= PHONE_MIN_DIGITS) & ~p.rlike(PHONE_SKIP))
 
 
 def phones_from_urls(urls: Column | str) -> Column:
@@ -85,7 +98,7 @@ def phones_from_urls(urls: Column | str) -> Column:
 
 
 def handles(text: Column | str, network: str) -> Column:
-    return all_matches(text, "(?i)" + NETWORKS[network])
+    return _if_any(_c(text), HOSTS[network], all_matches(text, "(?i)" + NETWORKS[network]))
 
 
 def is_handle(text: Column | str, network: str) -> Column:

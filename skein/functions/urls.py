@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,32 @@ def part(url: Column | str, i: int) -> Column:
     return F.when(u.rlike(_PARTS), F.regexp_extract(u, _PARTS, i))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it; its code stays small, too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parsed(url: Column | str) -> Column:
+    """Scheme, authority, path, query (with ?) and fragment (with #) as a struct; null if url has no scheme. For let()."""
+    u = _c(url)
+    names = ("scheme", "authority", "path", "query", "fragment")
+    return F.when(u.rlike(_PARTS), F.struct(*[F.regexp_extract(u, _PARTS, i).alias(n) for i, n in enumerate(names, 1)]))
+
+
+def _site(p: Column) -> Column:
+    """scheme, authority (both lower case), host and host with port of parsed()."""
+    known, at = F.lower(p["scheme"]), F.lower(F.regexp_replace(p["authority"], "^.*@", ""))
+    host = F.regexp_replace(at, r":\d*$", "")
+    shown = at
+    for name, number in DEFAULT_PORTS.items():
+        shown = F.when(known == name, F.regexp_replace(at, f":{number}$", "")).otherwise(shown)
+    return F.struct(known.alias("scheme"), at.alias("authority"), F.when(host != "", host).alias("host"), shown.alias("shown"))
+
+
+def _origin(s: Column) -> Column:
+    return F.when(s["host"].isNotNull(), F.concat(s["scheme"], F.lit("://"), s["shown"]))
+
+
 def trimmed(text: Column | str) -> Column:
     """Without white space at the ends, of any kind."""
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
@@ -57,16 +85,14 @@ def fragment(url: Column | str) -> Column:
     return F.regexp_replace(part(url, 5), "^#", "")
 
 
-def _host_port(url: Column | str) -> Column:
-    out = authority(url)
-    for name, number in DEFAULT_PORTS.items():
-        out = F.when(scheme(url) == name, F.regexp_replace(authority(url), f":{number}$", "")).otherwise(out)
-    return out
-
-
 def origin(url: Column | str) -> Column:
     """scheme://host[:port], the scheme's own port left out; null without host."""
-    return F.when(hostname(url).isNotNull(), F.concat(scheme(url), F.lit("://"), _host_port(url)))
+    return let(parsed(url), lambda p: let(_site(p), _origin))
+
+
+def host_and_origin(url: Column | str) -> Column:
+    """struct(host, origin), the URL looked at once."""
+    return let(parsed(url), lambda p: let(_site(p), lambda s: F.struct(s["host"].alias("host"), _origin(s).alias("origin"))))
 
 
 def plain_host(host: Column | str) -> Column:
@@ -89,14 +115,17 @@ def registrable_domain(host: Column | str, suffixes: tuple[str, ...] = SUFFIXES)
 def normalize_url(url: Column | str, *, keep_fragment: bool = False, drop_tracking: bool = True) -> Column:
     """Lower-case scheme and host, no slash at the path's end, parameters in order of their names (equal names keep
     theirs), utm_ ones dropped, no fragment unless asked. What isn't a URL stays as it is."""
-    u = trimmed(url)
-    q = F.split(query(u), "&")
-    items = F.transform(q, lambda x, i: F.struct(F.regexp_extract(x, "^[^=]*", 0).alias("k"), i.alias("i"), x.alias("v")))
-    items = F.filter(items, lambda s: (s["v"] != "") & (~s["k"].startswith("utm_") if drop_tracking else F.lit(True)))
-    sorted_q = F.array_join(F.transform(F.array_sort(items), lambda s: s["v"]), "&")
-    out = F.concat(scheme(u), F.lit("://"), _host_port(u), F.regexp_replace(path(u), "/$", ""), F.when(sorted_q != "", F.concat(F.lit("?"), sorted_q)).otherwise(F.lit("")))
-    out = F.concat(out, part(u, 5)) if keep_fragment else out
-    return F.when(hostname(u).isNotNull(), out).otherwise(_c(url))
+
+    def build(p: Column) -> Column:
+        q = F.split(F.regexp_replace(p["query"], r"^\?", ""), "&")
+        items = F.transform(q, lambda x, i: F.struct(F.regexp_extract(x, "^[^=]*", 0).alias("k"), i.alias("i"), x.alias("v")))
+        items = F.filter(items, lambda s: (s["v"] != "") & (~s["k"].startswith("utm_") if drop_tracking else F.lit(True)))
+        params = F.array_join(F.transform(F.array_sort(items), lambda s: s["v"]), "&")
+        tail = let(params, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(F.lit("")))
+        tail = F.concat(tail, p["fragment"]) if keep_fragment else tail
+        return let(_site(p), lambda s: F.concat(_origin(s), F.regexp_replace(p["path"], "/$", ""), tail))
+
+    return F.coalesce(let(parsed(trimmed(url)), build), _c(url))
 
 
 def short_hash(text: Column | str, length: int) -> Column:
@@ -138,22 +167,33 @@ def _without_dots(p: Column) -> Column:
 
 def resolve_url(href: Column | str, base: Column | str) -> Column:
     """href as seen from base; null if it can't be resolved."""
-    h, b = trimmed(href), _c(base)
-    root = F.concat(scheme(b), F.lit("://"), authority(b))
-    folder = F.regexp_replace(F.when(path(b) == "", F.lit("/")).otherwise(path(b)), "[^/]*$", "")
-    rest, tail = F.regexp_extract(h, "^[^?#]*", 0), F.regexp_extract(h, "[?#].*$", 0)
-    own_path = F.when(path(b) == "", F.lit("/")).otherwise(path(b))
-    from_base = (
-        F.when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, _without_dots(rest), tail))
-        .when(h.startswith("?"), F.concat(root, own_path, h))
-        .when(h.startswith("#"), F.concat(root, own_path, part(b, 4), h))
-        .when(h == "", F.concat(root, own_path, part(b, 4)))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, rest)), tail))
-    )
-    web = h.rlike("^(?i)https?:")
-    absolute = F.when(~web, h).when(hostname(h).isNotNull(), F.concat(scheme(h), F.lit("://"), _host_port(h), F.when(path(h) == "", F.lit("/")).otherwise(_without_dots(path(h))), part(h, 4), part(h, 5)))
-    return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), absolute).when(hostname(b).isNotNull(), from_base)
+
+    def seen(x: Column) -> Column:
+        h, b, s = x["h"], x["b"], x["s"]
+        root = F.concat(s["scheme"], F.lit("://"), s["authority"])
+        own_path = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
+        rest, tail = F.regexp_extract(h, "^[^?#]*", 0), F.regexp_extract(h, "[?#].*$", 0)
+        folder = F.regexp_replace(own_path, "[^/]*$", "")
+        # One removal of dots for paths of either kind: its code is long.
+        led = _without_dots(F.when(h.startswith("/"), rest).otherwise(F.concat(folder, rest)))
+        found = (
+            F.when(h.startswith("//"), F.concat(s["scheme"], F.lit(":"), h))
+            .when(h.startswith("?"), F.concat(root, own_path, h))
+            .when(h.startswith("#"), F.concat(root, own_path, b["query"], h))
+            .when(h == "", F.concat(root, own_path, b["query"]))
+            .otherwise(F.concat(root, led, tail))
+        )
+        return F.when(s["host"].isNotNull(), found)
+
+    def whole(h: Column) -> Column:
+        def build(p: Column) -> Column:
+            path_ = F.when(p["path"] == "", F.lit("/")).otherwise(_without_dots(p["path"]))
+            return let(_site(p), lambda s: F.concat(_origin(s), path_, p["query"], p["fragment"]))
+
+        return F.when(h.rlike("^(?i)https?:"), let(parsed(h), build)).otherwise(h)
+
+    from_base = lambda h: let(parsed(base), lambda b: let(F.struct(h.alias("h"), b.alias("b"), _site(b).alias("s")), seen))
+    return let(trimmed(href), lambda h: F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), whole(h)).otherwise(from_base(h)))
 
 
 def with_search_params(url: Column | str, params: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce as fold
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.frontier import place
@@ -193,6 +193,11 @@ class Transaction:
             if kind in self.held:
                 self.held[kind].write.mode("overwrite").parquet(f"{self.root}/{kind}/txn={self.ident}")
 
+    def read(self, kind: str, base: DataFrame, key: str | None = None, order: str = "seq") -> DataFrame:
+        """base with what is held back: the transaction reads its own writes. key: later rows by order stand for it."""
+        both = base.unionByName(self.held[kind], allowMissingColumns=True) if kind in self.held else base
+        return keep_last(both, [key], order) if key else both
+
     def rollback(self) -> None:
         self.held.clear()
 
@@ -219,11 +224,18 @@ def write_list(requests: DataFrame, path: str) -> None:
     requests.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_list() wrote; gzip is told by the files' names."""
+    return spark.read.schema(schema).json(path)
+
+
 def storage_writes(journal: DataFrame) -> DataFrame:
     """journal(store, op) -> reads, writes, deletes, lists of each store."""
     return journal.groupBy("store").agg(*[F.count_if(F.col("op") == o).alias(f"{o}s") for o in ("read", "write", "delete", "list")])
 
 
 def keep_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key by order, aggregated before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    return last.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns])

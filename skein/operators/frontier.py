@@ -39,14 +39,23 @@ def request_list(sources: DataFrame, *, keep_duplicates: bool = False) -> DataFr
     return kept.withColumn("unique_key", F.when(F.col("_given"), F.col("unique_key")).otherwise(F.concat_ws("-", "unique_key", "_at"))).withColumn("request_id", U.request_id("unique_key")).drop("_given", "_at")
 
 
-def place(rows: DataFrame, order: str, name: str, span: int = 1 << 16) -> DataFrame:
-    """Adds the place 0, 1, ... of a row by order (a whole number): within spans of order, and the rows of earlier spans.
-    Only a row for each span meets in one task."""
-    b = F.expr(f"cast({order} as bigint) div {span}")
-    counts = rows.groupBy(b.alias("_b")).count()
-    earlier = counts.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
-    inside = rows.withColumn("_b", b).withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1)
-    return inside.join(earlier, "_b").withColumn(name, F.col(name) + F.col("_n")).drop("_b", "_n")
+def place(rows: DataFrame, order: str, name: str, per_task: int = 1 << 16) -> DataFrame:
+    """Adds the place 0, 1, ... of a row by order (a number; nulls first, in any order among them).
+
+    Rows go to at most 256 parts of about as many rows, cut at approximate quantiles, whatever values lie between: a row
+    for each part is all that meets in one task. The driver sees the cuts.
+    """
+    at = F.col(order).cast("double")
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("q")).first()
+    parts = min(256, -(-seen["n"] // per_task))
+    cuts = sorted({seen["q"][256 * i // parts - 1] for i in range(1, parts)}) if parts > 1 and seen["q"] else []
+    part = F.when(at.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0))
+    inside = rows.withColumn("_b", part).withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order).asc_nulls_first())) - 1)
+    if not cuts and rows.where(at.isNull()).isEmpty():
+        return inside.drop("_b")
+    earlier = rows.groupBy(part.alias("_b")).count()
+    earlier = earlier.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    return inside.join(F.broadcast(earlier), "_b").withColumn(name, F.col(name) + F.col("_n")).drop("_b", "_n")  # at most 257 rows
 
 
 def requests_from_text(lines: DataFrame, text: str = "value", commas: bool = False, **shared: Column) -> DataFrame:
@@ -93,6 +102,21 @@ def counts(requests: DataFrame) -> DataFrame:
     return requests.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("handled_at").isNotNull()).alias("handled"), F.count_if(F.col("handled_at").isNull()).alias("pending"))
 
 
+def request_options(sources: DataFrame, source: str = "source", label: str | None = None, user_data: str = "{}") -> DataFrame:
+    """sources(seq, source): each a URL or a JSON object of a request -> seq, url, method, payload, unique_key, label,
+    user_data (JSON). label and user_data hold for all rows; a row's own label and user data stand before them."""
+    s = F.trim(source)
+    own = F.when(s.startswith("{"), F.from_json(s, "url string, method string, payload string, uniqueKey string, label string, userData string"))
+    mine = F.map_concat(F.from_json(F.lit(user_data), "map<string,string>"), F.create_map(F.lit("label"), F.lit(label)) if label is not None else F.create_map().cast("map<string,string>"))
+    given = F.coalesce(F.from_json(own["userData"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    named = F.when(own["label"].isNotNull(), F.create_map(F.lit("label"), own["label"])).otherwise(F.create_map().cast("map<string,string>"))
+    # Of equal names the last counts.
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    data = over(over(mine, given), named)
+    out = sources.select("seq", F.coalesce(own["url"], F.when(~s.startswith("{"), s)).alias("url"), F.upper(F.coalesce(own["method"], F.lit("GET"))).alias("method"), own["payload"].alias("payload"), own["uniqueKey"].alias("unique_key"), data.alias("_d"))
+    return out.withColumn("label", F.col("_d")["label"]).withColumn("user_data", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_d"))))).drop("_d")
+
+
 def tandem(loader: DataFrame, queue: DataFrame) -> DataFrame:
     """Loader rows enter at the queue's front; keys the queue has stay the queue's."""
     new = loader.join(queue.select("unique_key"), "unique_key", "left_anti").withColumn("forefront", F.lit(True))

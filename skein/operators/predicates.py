@@ -26,11 +26,16 @@ def is_web(url: Column | str) -> Column:
 def matches_strategy(strategy: Column | str, target: Column | str, base: Column | str) -> Column:
     """Whether target may be followed from base; hosts are compared without a dot at the end."""
     s = F.col(strategy) if isinstance(strategy, str) else strategy
-    host_t, host_b = U.plain_host(U.hostname(target)), U.plain_host(U.hostname(base))
-    dom_t, dom_b = U.registrable_domain(host_t), U.registrable_domain(host_b)
-    same_origin = U.origin(target) == U.origin(base)
-    found = F.when(s == "all", F.lit(True)).when(s == "same-hostname", host_t == host_b).when(s == "same-domain", F.when(dom_b.isNull(), same_origin).otherwise(dom_t.eqNullSafe(dom_b))).when(s == "same-origin", same_origin)
-    return F.coalesce(found, F.lit(False))
+
+    def compared(x: Column) -> Column:
+        host_t, host_b = U.plain_host(x["t"]["host"]), U.plain_host(x["b"]["host"])
+        dom_t, dom_b = U.registrable_domain(host_t), U.registrable_domain(host_b)
+        same_origin = x["t"]["origin"] == x["b"]["origin"]
+        same_domain = F.when(dom_b.isNull(), same_origin).otherwise(dom_t.eqNullSafe(dom_b))
+        return F.when(s == "all", F.lit(True)).when(s == "same-hostname", host_t == host_b).when(s == "same-domain", same_domain).when(s == "same-origin", same_origin)
+
+    both = F.struct(U.host_and_origin(target).alias("t"), U.host_and_origin(base).alias("b"))
+    return F.coalesce(U.let(both, compared), F.lit(False))
 
 
 def filter_url(target: Column | str, base: Column | str, strategy: Column | str) -> Column:
@@ -136,11 +141,12 @@ def matches_patterns(url: Column | str, include: list | None = None, exclude: li
 
 
 def by_pattern_table(requests: DataFrame, patterns: DataFrame, url: str = "url", most: int = 10_000) -> DataFrame:
-    """requests that match any row of patterns(regex). The table is folded to one literal after a check of its size:
-    patterns are configuration, and a join on rlike would be a nested loop."""
-    found = [r["regex"] for r in patterns.select("regex").where("regex is not null").distinct().limit(most + 1).collect()]
+    """requests that match any row of patterns(regex). Up to most patterns, which are configuration, are folded to one
+    literal; more are met one by one in a join, which takes requests times patterns but leaves none out."""
+    own = patterns.select("regex").where("regex is not null").distinct()
+    found = [r["regex"] for r in own.limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"more than {most} patterns")
+        return requests.join(own.withColumnRenamed("regex", "_regex"), F.col(url).rlike(F.col("_regex")), "left_semi")
     return requests.where(F.col(url).rlike("|".join(f"(?:{x})" for x in sorted(found)))) if found else requests.limit(0)
 
 

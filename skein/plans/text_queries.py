@@ -138,9 +138,9 @@ def social_handles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.social_handles("html").alias("s")).select("page_id", "s.*")
 
 
-@query("SELECT page_id, [replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] AS heads FROM pages WHERE contains(html, '<h1>')")
+@query("SELECT page_id, CASE WHEN contains(html, '<h1>') THEN [replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] ELSE [] END AS heads FROM pages")
 def css_select(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<h1>"))).select("page_id", H.select_text("html", "article > h1").alias("heads"))
+    return table(spark, sf_dir, "pages").select("page_id", H.select_text("html", "article > h1").alias("heads"))
 
 
 _OG = '<html><head><meta property="og:title" content="T"><meta property="og:image" content="i.png"><meta property="og:image:width" content="10"><meta property="video:actor" content="A"><meta property="video:actor" content="B"><meta property="x:y" content="z"></head></html>'

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +59,14 @@ def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*", url:
     distinct URL, and per URL only the best rule is kept while they are counted up."""
     name = agent.lower()
     own = rules.where(F.col("agent") != "*").where(F.lit(name).contains(F.col("agent"))) if agent != "*" else rules.limit(0)
+    # Of several groups that are meant, the most specific: the longest name.
+    best = own.groupBy("origin").agg(F.max(F.length("agent")).alias("_n"))
+    own = own.join(best, "origin").where(F.length("agent") == F.col("_n")).drop("_n")
     rest = rules.where("agent = '*'").join(own.select("origin").distinct(), "origin", "left_anti")
     used = own.unionByName(rest).select("origin", "allow", "path", rule_regex("path").alias("_re"))
-    keyed = requests.withColumn("_o", U.origin(url)).withColumn("_p", F.concat(F.when(U.path(url) == "", F.lit("/")).otherwise(U.path(url)), U.part(url, 4)))
+    keyed = requests.withColumn("_o", U.origin(url)).withColumn("_p", U.let(U.parsed(url), lambda p: F.concat(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), p["query"])))
     asked = keyed.where("_o is not null").select("_o", "_p").distinct()
     hit = asked.join(used, asked["_o"] == used["origin"]).where(F.expr("_p rlike _re"))
     best = hit.groupBy("_o", "_p").agg(F.max_by("allow", F.struct(F.length("path"), F.col("allow"))).alias("_a"))
     return keyed.join(best, ["_o", "_p"], "left").withColumn("robots_allowed", F.coalesce("_a", F.lit(True))).select(*requests.columns, "robots_allowed")
 
-
-def fits(pattern: str, path: str) -> bool:
-    """The same match for one path, in Python."""
-    body = re.escape(pattern.rstrip("$") if pattern.endswith("$") else pattern).replace(r"\*", ".*")
-    return re.match(body + ("$" if pattern.endswith("$") else ""), path, re.S) is not None

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import urls as U
+from skein.operators import frontier as R
 from skein.operators import predicates as P
 
 CHANGES = ("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
@@ -35,6 +37,17 @@ def unpacked(body: Column) -> Column:
     return F.when(F.hex(F.substring(body, 1, 2)) == "1F8B", run(body)).otherwise(F.decode(body, "UTF-8"))
 
 
+def sitemap_bodies(files: DataFrame, url: Column | str = "path") -> DataFrame:
+    """files as binaryFile reads them -> sitemap_url, body as text, gzip unpacked."""
+    return files.select((F.col(url) if isinstance(url, str) else url).alias("sitemap_url"), unpacked(F.col("content")).alias("body"))
+
+
+def sitemap_requests(roots: DataFrame, entries: DataFrame, store: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """The requests of a sitemap loader: expand_sitemaps() as seq, url, unique_key, request_id, one of each key."""
+    found = expand_sitemaps(roots, entries, store, **options).select(F.col("loc").alias("url")).distinct()
+    return R.first_seen(R.with_keys(found.withColumn("seq", F.xxhash64("url"))))
+
+
 def sitemap_entries(docs: DataFrame) -> DataFrame:
     """docs(sitemap_url, body as text) -> origin_sitemap, kind (url or sitemap), loc, lastmod, changefreq, priority.
 
@@ -57,21 +70,23 @@ def text_sitemap(docs: DataFrame) -> DataFrame:
     return lines.select("origin_sitemap", U.trimmed("l").alias("loc")).where("loc != ''")
 
 
-def expand_sitemaps(roots: DataFrame, entries: DataFrame, store: Callable[[DataFrame], DataFrame], *, max_depth: int = 10, strategy: str = "same-hostname") -> DataFrame:
+def expand_sitemaps(roots: DataFrame, entries: DataFrame, store: Callable[[DataFrame], DataFrame], *, max_depth: int | None = None, strategy: str = "same-hostname", include: list | None = None, exclude: list | None = None, nested_filter: Column | None = None) -> DataFrame:
     """roots(sitemap_url), entries as of sitemap_entries() -> loc entries reached, each sitemap read once.
 
-    Nested sitemaps and entries must satisfy the strategy seen from the sitemap that names them."""
+    Nested sitemaps and entries must satisfy the strategy seen from the sitemap that names them; nested sitemaps also
+    nested_filter (a condition on loc), entries also include and exclude. No limit of depth unless asked for."""
     ok = entries.where(P.matches_strategy(F.lit(strategy), "loc", "origin_sitemap"))
-    nested = ok.where("kind = 'sitemap'").select("origin_sitemap", F.col("loc").alias("child"))
+    below = ok.where("kind = 'sitemap'")
+    nested = (below if nested_filter is None else below.where(nested_filter)).select("origin_sitemap", F.col("loc").alias("child"))
     last = store(roots.select("sitemap_url").distinct())
     seen = last
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         found = last.join(nested, last["sitemap_url"] == nested["origin_sitemap"]).select(F.col("child").alias("sitemap_url")).distinct()
         last = store(found.join(seen, "sitemap_url", "left_anti"))
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
-    return ok.where("kind = 'url'").join(seen.withColumnRenamed("sitemap_url", "origin_sitemap"), "origin_sitemap", "left_semi")
+    return ok.where("kind = 'url'").where(P.matches_patterns("loc", include, exclude)).join(seen.withColumnRenamed("sitemap_url", "origin_sitemap"), "origin_sitemap", "left_semi")
 
 
 def dropped_by_strategy(entries: DataFrame, strategy: str = "same-hostname") -> DataFrame:
