@@ -129,6 +129,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0, steps:
     if not len(words) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.empty(0), float(-8 if not len(y) or y.max() == 0 else 2))
     keys, index = np.unique(words, return_inverse=True)
+    del words
     pairs = np.unique(index * len(texts) + docs[sents])
     keep = np.flatnonzero(np.bincount(pairs // len(texts), minlength=len(keys)) >= least_docs)
     new = np.full(len(keys), -1)
@@ -136,6 +137,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, clean_weight: float = 1.0, steps:
     held = new[index] >= 0
     pairs = np.unique(sents[held] * max(1, len(keep)) + new[index][held])
     at, index = pairs // max(1, len(keep)), pairs % max(1, len(keep))
+    del pairs, held, new, sents
     n, k = len(docs), len(keep)
     weight = np.where(y > 0, 1.0, clean_weight)
     weight = weight / weight.sum()
