@@ -35,6 +35,11 @@ def parsed(url: Column | str) -> Column:
     return F.when(u.rlike(_PARTS), F.struct(*[F.regexp_extract(u, _PARTS, i).alias(n) for i, n in enumerate(names, 1)]))
 
 
+def parsed_once(url: Column | str) -> Column:
+    """parsed(), with url named once."""
+    return let(_c(url), parsed)
+
+
 def _site(p: Column) -> Column:
     """scheme, authority (both lower case), host and host with port of parsed()."""
     known, at = F.lower(p["scheme"]), F.lower(F.regexp_replace(p["authority"], "^.*@", ""))
@@ -87,12 +92,12 @@ def fragment(url: Column | str) -> Column:
 
 def origin(url: Column | str) -> Column:
     """scheme://host[:port], the scheme's own port left out; null without host."""
-    return let(parsed(url), lambda p: let(_site(p), _origin))
+    return let(parsed_once(url), lambda p: let(_site(p), _origin))
 
 
 def host_and_origin(url: Column | str) -> Column:
     """struct(host, origin), the URL looked at once."""
-    return let(parsed(url), lambda p: let(_site(p), lambda s: F.struct(s["host"].alias("host"), _origin(s).alias("origin"))))
+    return let(parsed_once(url), lambda p: let(_site(p), lambda s: F.struct(s["host"].alias("host"), _origin(s).alias("origin"))))
 
 
 def plain_host(host: Column | str) -> Column:
@@ -125,7 +130,7 @@ def normalize_url(url: Column | str, *, keep_fragment: bool = False, drop_tracki
         tail = F.concat(tail, p["fragment"]) if keep_fragment else tail
         return let(_site(p), lambda s: F.concat(_origin(s), F.regexp_replace(p["path"], "/$", ""), tail))
 
-    return F.coalesce(let(parsed(trimmed(url)), build), _c(url))
+    return let(_c(url), lambda u: F.coalesce(let(parsed_once(trimmed(u)), build), u))
 
 
 def short_hash(text: Column | str, length: int) -> Column:
@@ -192,7 +197,7 @@ def resolve_url(href: Column | str, base: Column | str) -> Column:
 
         return F.when(h.rlike("^(?i)https?:"), let(parsed(h), build)).otherwise(h)
 
-    from_base = lambda h: let(parsed(base), lambda b: let(F.struct(h.alias("h"), b.alias("b"), _site(b).alias("s")), seen))
+    from_base = lambda h: let(parsed_once(base), lambda b: let(F.struct(h.alias("h"), b.alias("b"), _site(b).alias("s")), seen))
     return let(trimmed(href), lambda h: F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), whole(h)).otherwise(from_base(h)))
 
 

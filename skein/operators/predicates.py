@@ -20,7 +20,8 @@ TRANSIENT_STATUS = (408, 429, 500, 502, 503, 504)
 
 
 def is_web(url: Column | str) -> Column:
-    return F.coalesce(U.scheme(url).isin("http", "https") & U.hostname(url).isNotNull(), F.lit(False))
+    web = lambda p: p["scheme"].rlike("^(?i)https?$") & F.regexp_replace(p["authority"], r"^.*@|:\d*$", "").rlike("(?s).")
+    return F.coalesce(U.let(U.parsed_once(url), web), F.lit(False))
 
 
 def matches_strategy(strategy: Column | str, target: Column | str, base: Column | str) -> Column:
@@ -146,7 +147,7 @@ def by_pattern_table(requests: DataFrame, patterns: DataFrame, url: str = "url",
     own = patterns.select("regex").where("regex is not null").distinct()
     found = [r["regex"] for r in own.limit(most + 1).collect()]
     if len(found) > most:
-        return requests.join(own.withColumnRenamed("regex", "_regex"), F.col(url).rlike(F.col("_regex")), "left_semi")
+        return requests.join(own.withColumnRenamed("regex", "_regex"), F.rlike(F.col(url), F.col("_regex")), "left_semi")
     return requests.where(F.col(url).rlike("|".join(f"(?:{x})" for x in sorted(found)))) if found else requests.limit(0)
 
 
@@ -227,8 +228,13 @@ def skip_reason(options: EnqueueOptions, url: str = "url", base: str = "base", d
     out = F.lit(None).cast("string")
     if transform_skips is not None:
         out = F.when(transform_skips, F.lit("transform")).otherwise(out)
-    out = F.when(F.col(base).isNotNull() & ~matches_strategy(F.lit(options.strategy), url, base), F.lit("filters")).otherwise(out)
-    out = F.when(~matches_patterns(url, options.include, options.exclude), F.lit("filters")).otherwise(out)
+
+    def filtered(x: Column) -> Column:
+        off = x["base"].isNotNull() & ~matches_strategy(F.lit(options.strategy), x["url"], x["base"])
+        return F.coalesce(~matches_patterns(x["url"], options.include, options.exclude), F.lit(False)) | off
+
+    # url is named once: where a condition on the reason moves below what makes the URL, that isn't made again for each use.
+    out = F.when(U.let(F.struct(F.col(url).alias("url"), F.col(base).alias("base")), filtered), F.lit("filters")).otherwise(out)
     if allowed:
         out = F.when(~F.coalesce(F.col(allowed), F.lit(True)), F.lit("robotsTxt")).otherwise(out)
     if depth and options.max_depth is not None:

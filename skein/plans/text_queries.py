@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from skein.functions import html as H
 from skein.functions import text as T
 from skein.functions import urls as U
+from skein.operators import frontier as R
 from skein.operators import predicates as P
 from skein.operators import rendering as D
 from skein.plans.registry import inline, query, table, values
@@ -22,9 +25,9 @@ def extract_urls(spark, sf_dir):
     return inline(spark, "id int, line string", _URL_LINES).select("id", T.extract_urls("line").alias("urls"))
 
 
-@query(r"""SELECT doc_id, regexp_extract_all(text, '(?i)[a-z0-9!#$%&''*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&''*+/=?^_`{|}~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?') AS emails FROM documents WHERE contains(text, '@')""")
+@query(r"""SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)[a-z0-9!#$%&''*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&''*+/=?^_`{|}~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?') AS emails FROM documents""")
 def emails(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", T.emails("text").alias("emails"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.emails("text").alias("emails"))
 
 
 _PHONE_SQL = T.PHONE.replace("'", "''")
@@ -138,6 +141,12 @@ def social_handles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.social_handles("html").alias("s")).select("page_id", "s.*")
 
 
+@query()
+def page_content(spark, sf_dir):
+    """Text, links and contacts of a page in one pass."""
+    return table(spark, sf_dir, "pages").select("page_id", H.page_content("html", "url").alias("c")).select("page_id", "c.text", "c.links", "c.contacts.*")
+
+
 @query("SELECT page_id, CASE WHEN contains(html, '<h1>') THEN [replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] ELSE [] END AS heads FROM pages")
 def css_select(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.select_text("html", "article > h1").alias("heads"))
@@ -159,6 +168,34 @@ def url_similarity(spark, sf_dir):
     return inline(spark, "id int, a string, b string, s double", _SIMILAR).select("id", D.url_similarity("a", "b").alias("similarity"))
 
 
+_SOURCES = """s AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '{"url": "' || url || '", "method": "post", "payload": "p' || page_id || '"}' ELSE '{"url": "' || url || '", "label": "own", "userData": {"a": "' || page_id || '"}}' END AS source FROM pages)"""
+
+
+@query(f"""WITH {_SOURCES} SELECT page_id AS seq, url, CASE WHEN page_id % 3 = 1 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 3 = 1 THEN 'p' || page_id END AS payload, CASE WHEN page_id % 3 = 2 THEN 'own' ELSE 'shared' END AS label,
+CASE WHEN page_id % 3 = 2 THEN '{{"a":"' || page_id || '","label":"own"}}' ELSE '{{"a":"all","label":"shared"}}' END AS user_data FROM s""")
+def request_options(spark, sf_dir):
+    i, u = F.col("page_id"), F.col("url")
+    posted = F.concat(F.lit('{"url": "'), u, F.lit('", "method": "post", "payload": "p'), i, F.lit('"}'))
+    named = F.concat(F.lit('{"url": "'), u, F.lit('", "label": "own", "userData": {"a": "'), i, F.lit('"}}'))
+    rows = table(spark, sf_dir, "pages").select(i.alias("seq"), F.when(i % 3 == 0, u).when(i % 3 == 1, posted).otherwise(named).alias("source"))
+    return R.request_options(rows, label="shared", user_data='{"a": "all"}').drop("unique_key")
+
+
+@query("""WITH m AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/map' || page_id % 14 || '.xml' AS parent, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host FROM pages),
+d AS (SELECT DISTINCT url FROM m WHERE NOT regexp_matches(url, '[aeiou]$')) SELECT url FROM d""")
+def sitemap_tree(spark, sf_dir):
+    """A chain of 14 nested sitemaps on every host, each with the host's pages of one residue: all are reached, whatever the depth."""
+    p = table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 14).alias("n"), U.origin("url").alias("o"))
+    at = lambda c: F.concat("o", F.lit("/map"), c, F.lit(".xml"))
+    none = F.lit(None)
+    own = p.select(at(F.col("n")).alias("origin_sitemap"), F.lit("url").alias("kind"), F.col("url").alias("loc"))
+    chain = p.select("o").distinct().select("o", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("n"))
+    nested = chain.select(at(F.col("n")).alias("origin_sitemap"), F.lit("sitemap").alias("kind"), at(F.col("n") + 1).alias("loc"))
+    entries = own.unionByName(nested).withColumns({"lastmod": none.cast("timestamp"), "changefreq": none.cast("string"), "priority": none.cast("double")})
+    roots = p.select(at(F.lit(0)).alias("sitemap_url")).distinct()
+    return M.expand_sitemaps(roots, entries, stored, exclude=[re.compile("[aeiou]$")]).select(F.col("loc").alias("url")).distinct()
+
+
 @query()
 def rendering_predict(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", U.url_components("url")[2].alias("label"), F.when(F.col("page_id") % 3 == 0, D.STATIC).otherwise(D.CLIENT).alias("rendering_type"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import itertools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,6 @@ _INDEX = f"sitemap {_ENTRY}, _bad string"
 
 def unpacked(body: Column) -> Column:
     """Bytes as text; gzip is told by content, not by name, and unpacked by a pandas function only where it occurs."""
-    import gzip
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

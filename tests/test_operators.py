@@ -6,11 +6,15 @@ from hypothesis import strategies as st
 
 from skein.functions import html as H
 from skein.functions import text as T
+from skein.operators import datasets as DS
 from skein.operators import errors as E
+from skein.operators import frontier as R
 from skein.operators import predicates as P
 from skein.operators import rendering as D
 from skein.operators.datasets import Dataset, Transaction, export_format, record
 from skein.operators.router import MissingRoute, Router
+from skein.sources import robots as B
+from skein.sources import sitemaps as M
 from skein.streaming import folds
 
 
@@ -115,3 +119,73 @@ def test_rendering_features_are_means_over_all_pages(spark):
 def test_jaro_winkler(a, b):
     s = D.jaro_winkler(a, b)
     assert 0 <= s <= 1.0000001 and abs(s - D.jaro_winkler(b, a)) < 1e-9 and D.jaro_winkler(a, a) == 1
+
+
+def test_place_keeps_rows_without_order_and_sparse_ones(spark):
+    rows = [(i, None if i % 10 == 0 else i * i * 1_000_003) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, seq long")
+    for per_task in (1 << 16, 7):
+        got = sorted((r["p"], r["seq"]) for r in R.place(df, "seq", "p", per_task).collect())
+        assert [p for p, _ in got] == list(range(500))
+        assert [s for _, s in got] == [None] * 50 + sorted(s for _, s in rows if s is not None)
+    assert R.place(df.limit(0), "seq", "p").count() == 0
+    assert [r["id"] for r in Dataset(spark.createDataFrame([(1, None), (2, 5), (3, 4)], "id long, seq long")).page(0, 3).collect()] == [1, 3, 2]
+
+
+def test_requests_from_text_and_options(spark):
+    lines = spark.createDataFrame([(1, "see http://a.com/x http://b.com/y"), (2, None)], "seq long, value string")
+    assert [r["url"] for r in R.requests_from_text(lines).orderBy("seq").collect()] == ["http://a.com/x", "http://b.com/y"]
+    rows = spark.createDataFrame([(1, " http://a.com "), (2, '{"url": "http://b.com", "uniqueKey": "k", "userData": {"label": "inner", "n": "1"}}'), (3, None), (4, "{broken")], "seq long, source string")
+    got = {r["seq"]: r for r in R.request_options(rows, label="all").collect()}
+    assert (got[1]["url"], got[1]["label"], got[1]["method"]) == ("http://a.com", "all", "GET")
+    assert (got[2]["unique_key"], got[2]["label"]) == ("k", "inner") and got[3]["url"] is None and got[4]["url"] is None
+
+
+def test_pattern_tables_of_any_size(spark):
+    urls = spark.createDataFrame([("http://a.com/1",), ("http://b.com/2",), (None,)], "url string")
+    patterns = spark.createDataFrame([("a\\.com",), ("zzz",), (None,)], "regex string")
+    for most in (1, 10):
+        assert [r["url"] for r in P.by_pattern_table(urls, patterns, most=most).collect()] == ["http://a.com/1"]
+
+
+def test_robots_go_by_the_most_specific_group(spark):
+    rules = spark.createDataFrame([("http://a.com", "bot", False, "/x"), ("http://a.com", "goodbot", False, "/y"), ("http://a.com", "*", False, "/")], "origin string, agent string, allow boolean, path string")
+    urls = spark.createDataFrame([("http://a.com/x",), ("http://a.com/y",)], "url string")
+    got = {r["url"][-1]: r["robots_allowed"] for r in B.robots_allowed(urls, rules, "GoodBot/1.0").collect()}
+    assert got == {"x": True, "y": False}
+
+
+def test_list_and_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é", '{"a": 1, "b": "x,y"}'), (2, None, '{"b": "z", "c": "q\\"r"}')], "seq long, url string, item string")
+    DS.write_list(rows, f"{tmp_path}/list")
+    assert sorted(map(tuple, DS.read_list(spark, f"{tmp_path}/list", "seq long, url string, item string").collect())) == sorted(map(tuple, rows.collect()))
+    Dataset(rows).export(f"{tmp_path}/out.csv", json_col="item", collect_all=True)
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out.csv")
+    assert back.columns == ["a", "b", "c"] and {tuple(r) for r in back.collect()} >= {("1", "x,y", None)}
+    Dataset(rows.limit(0)).export(f"{tmp_path}/none.json")
+    assert not [p for p in (tmp_path / "none.json").glob("part-*") if p.stat().st_size]
+
+
+def test_transaction_reads_its_writes(spark, tmp_path):
+    base = spark.createDataFrame([(1, "k", "old"), (2, "j", "kept")], "seq long, key string, value string")
+    t = Transaction(str(tmp_path), 1)
+    t.add("records", spark.createDataFrame([(3, "k", "new"), (4, "k", "newer")], "seq long, key string, value string"))
+    assert {r["key"]: r["value"] for r in t.read("records", base, "key").collect()} == {"k": "newer", "j": "kept"}
+    t.rollback()
+    assert t.read("records", base, "key").count() == 2
+
+
+def test_gzip_sitemaps(spark, tmp_path):
+    import gzip
+
+    xml = "<urlset><url><loc>http://a.com/é</loc></url></urlset>"
+    (tmp_path / "a.xml").write_bytes(gzip.compress(xml.encode()))
+    (tmp_path / "b.xml").write_text(xml)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r["loc"] for r in M.sitemap_entries(M.sitemap_bodies(files)).collect()] == ["http://a.com/é"] * 2
+
+
+def test_page_content_is_what_its_parts_are(spark):
+    pages = spark.createDataFrame([('<body>hi <a href="/x">l</a> a@b.com <a href="tel:+420 123 456">t</a></body>', "http://h.com/p"), (None, None)], "html string, url string")
+    for r in pages.select("html", H.page_content("html", "url").alias("c"), H.html_to_text("html").alias("t"), H.extract_links("html", "url").alias("l"), H.social_handles("html").alias("s")).collect():
+        assert r["c"]["contacts"] == r["s"] and (r["html"] is None or (r["c"]["text"], r["c"]["links"]) == (r["t"], r["l"]))
