@@ -28,7 +28,7 @@ from skein.llm.common import sliced
 #: Characters that are read at a time.
 BLOCK = 1 << 16
 #: Pieces of up to so many characters whose ids a worker remembers, and how many of them.
-SHORT, REMEMBERED = 64, 200_000
+SHORT, REMEMBERED = 64, 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,18 +75,24 @@ def _finder(text: str) -> re.Pattern:
 
 
 class Known(dict):
-    """Ids of pieces met so far, as the transducer gave them; all are forgotten once there are REMEMBERED."""
+    """Ids of pieces met so far, as the transducer gave them: two generations of up to REMEMBERED / 2, the older one
+    forgotten when the younger is full."""
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> list[int]:
-        run, size = Transducer(self.bpe), len(piece)
-        if size > SHORT:
-            return [t for i in range(0, size, BLOCK) for t in run.feed(piece[i : i + BLOCK].encode("utf-8", "surrogatepass"))] + run.end()
-        if len(self) >= REMEMBERED:
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > SHORT:
+            run = Transducer(self.bpe)
+            parts = [run.feed(piece[i : i + BLOCK].encode("utf-8", "surrogatepass")) for i in range(0, len(piece), BLOCK)]
+            return tuple(chain.from_iterable([*parts, run.end()]))
+        got = self.older.get(piece)
+        if got is None:
+            got = tuple(transduced(self.bpe, piece.encode("utf-8", "surrogatepass")))
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        got = self[piece] = run.feed(piece.encode("utf-8", "surrogatepass")) + run.end()
+        self[piece] = got
         return got
 
 
@@ -116,7 +122,7 @@ class Bpe:
         self.longest = max([1, *map(len, self.specials)])
         self.known = Known(self)
         self._split = {n & 0xFFFFF: (p >> 20, p & 0xFFFFF, n >> 20) for p, n in reversed(self.rank.items())}
-        self._fits: dict[int, bool] = {}
+        self._fits: dict[int, bool] = {}  # at most REMEMBERED
         self._edges: dict[int, tuple[list, list]] = {}
         #: Tokens by their bytes from the last to the first: node and byte give the next node; ends: a node's token.
         self.trie: dict[int, int] = {}
@@ -338,6 +344,28 @@ class Transducer:
         return self._drop(len(self.data))
 
 
+def transduced(bpe: Bpe, raw: bytes) -> list[int]:
+    """What a Transducer gives for a short piece that is there as a whole: the same steps, all tokens at its end."""
+    last, step, ends, known, fits = [-1], bpe.trie.get, bpe.ends, bpe._fits.get, bpe.fits
+    for j in range(len(raw)):
+        node = 0
+        while True:
+            node = step(node << 8 | raw[j])
+            t = ends[node]
+            if t >= 0:
+                before = last[j]
+                fit = before < 0 or known(before << 20 | t)
+                if fit or fit is None and fits(before, t):
+                    last.append(t)
+                    break
+            j -= 1
+    out, at = [], len(raw)
+    while at > 0:
+        out.append(last[at])
+        at -= len(bpe.bytes[last[at]])
+    return out[::-1]
+
+
 @cache
 def _bpe(path: str) -> Bpe:
     return Bpe(path)

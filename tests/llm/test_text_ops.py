@@ -95,6 +95,24 @@ def test_bpe_stream_is_stable_and_bounded():
     assert own.decode([own.single[0xC3]]) == "�"
 
 
+def test_bpe_forgets_and_holds_little(monkeypatch):
+    """With next to no memory of pieces, and for runs of MB without a blank: the same ids, and a transducer that stays small."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    own, lib, rng = bpe.Bpe(PATH), Tokenizer.from_file(PATH), random.Random(7)
+    text = " ".join("".join(rng.choice("aeiouthrns'1é数") for _ in range(rng.randint(1, 14))) for _ in range(3000))
+    assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert len(own.known) <= 8 and len(own.known.older) <= 8 and len(own._fits) <= 8
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    run, most, n = bpe.Transducer(own), 0, 0
+    for _ in range(40):
+        n += len(run.feed("".join(rng.choice("abcdefghij") for _ in range(50_000)).encode()))
+        most = max(most, len(run.data), len(run.last))
+    assert most <= 16 * own.lookahead and n > 400_000
+    for piece in ("x" * 50, "ÿþ" * 9, "hello", "a"):
+        stream = bpe.Transducer(own)
+        assert bpe.transduced(own, piece.encode()) == [t for b in piece.encode() for t in stream.feed(bytes([b]))] + stream.end()
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
