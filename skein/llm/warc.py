@@ -21,6 +21,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are stored every time.
 LEAST = 100
+#: Pages up to so many bytes, and how many of them an archive holds: 64 MB at most, or one page.
+SHELVES = ((1 << 15, 2000), (1 << 20, 64), (1 << 62, 1))
 
 
 def resolved(headers: DataFrame, least: int = LEAST) -> DataFrame:
@@ -61,15 +63,23 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     return pages.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, *, least: int = LEAST, file_records: int = 2000) -> None:
-    """Writes a record for each row of pages(page_id, url, html) under path; html null: empty."""
+def write_archives(pages: DataFrame, path: str, *, least: int = LEAST, shelves: tuple = SHELVES) -> None:
+    """Writes a record for each row of pages(page_id, url, html) under path; html null: empty.
+
+    shelves: sizes of pages and records a file, so that a file is small enough to be read whole."""
     digest = F.sha2(F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8"), 256)
     pages = pages.select("page_id", "url", "html")
-    headers = pages.select("page_id", digest.alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    headers = stored(pages.select("page_id", digest.alias("digest"), size.alias("payload_bytes")), "headers")
     again = resolved(headers, least).where("refers_to is not null").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
     again = stored(again, "revisits")
-    whole = _attached(pages.withColumn("digest", digest), again)
-    records(whole).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    largest, below = headers.agg(F.max("payload_bytes")).first()[0], -1
+    for k, (upto, most) in enumerate(shelves):
+        if k and (largest is None or largest <= below):
+            break
+        whole = _attached(pages.where((size > below) & (size <= upto)).withColumn("digest", digest), again)
+        records(whole).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+        below = upto
 
 
 def _attached(pages: DataFrame, again: DataFrame) -> DataFrame:

@@ -319,6 +319,11 @@ def test_warc(spark, tmp_path):
     stored = warc.read_archives(spark, str(tmp_path / "w"), payload=True).where("record_type = 'response'").collect()
     assert {bytes(r["payload"]).decode() for r in stored} >= {h for _, _, h in rows if h}
     assert warc.archived_pages(pages.limit(0)).count() == 0
+    # Large pages go to archives of their own, and clashing columns aren't looked at.
+    clash = spark.createDataFrame([(i, "u", "z" * n, "d", 1) for i, n in enumerate([10, 40_000, 3_000_000, 3_000_000])], "page_id long, url string, html string, digest string, payload_bytes int")
+    found = {r["page_id"]: r for r in warc.archived_pages(clash, str(tmp_path / "large")).collect()}
+    assert [found[i]["payload_bytes"] for i in range(4)] == [10, 40_000, 3_000_000, 3_000_000] and found[3]["refers_to"] == 2
+    assert len([p for p in (tmp_path / "large").glob("part-*")]) >= 3
 
 
 def test_kd_shards(odd, none):
