@@ -84,7 +84,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     start = F.col("block") * block_words
     lo = F.greatest(F.col("before"), start)
     hi = F.least(F.col("before") + F.col("size"), start + F.col("words"))
-    pieces = cut.join(slots, ["key", "block"]).withColumn("from_word", lo - F.col("before")).withColumn("to_word", hi - F.col("before"))
+    # The slots' file is small for its rows (it packs well), so its size would let it be broadcast far beyond what that allows for.
+    pieces = cut.join(slots.hint("merge"), ["key", "block"]).withColumn("from_word", lo - F.col("before")).withColumn("to_word", hi - F.col("before"))
     pieces = pieces.where("to_word > from_word").withColumn("words", F.col("to_word") - F.col("from_word"))
     return placed, slots, pieces
 
