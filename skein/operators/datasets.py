@@ -49,6 +49,14 @@ class Dataset:
         n = F.greatest(F.lit(0), total - offset)
         return self.df.agg(total.alias("total"), (F.least(n, F.lit(limit)) if limit is not None else n).alias("count"), F.lit(offset).alias("offset"), F.lit(limit if limit is not None else 0).alias("limit"), F.lit(desc).alias("desc"))
 
+    def entries(self) -> DataFrame:
+        """Rows with index, their place by seq."""
+        return place(self.df, self.seq, "index")
+
+    def for_each(self, fn: Callable[[dict, int], None]) -> None:
+        """Calls fn(row, index) for its effects, in the tasks that hold the rows: once a row, or again where a task is."""
+        self.entries().foreachPartition(lambda rows: [fn({k: v for k, v in r.asDict().items() if k != "index"}, r["index"]) for r in rows] and None)
+
     def fields(self, *names: str) -> DataFrame:
         return self.df.select(*names)
 

@@ -222,29 +222,78 @@ def fair_domains(spark, sf_dir):
     return R.place(free, "throttled_until", "turn").select("domain", (F.col("turn") + 1).alias("turn"))
 
 
+# The folds in SQL: a key's events are numbered, and a recursive query takes one of each key at a time.
+_SESSION_SQL = """WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, epoch_us(ts) // 1000000 AS at_s, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS seq, 0::DOUBLE AS score, 0::BIGINT AS usage, at_s AS since, false AS retired FROM e WHERE i = 1
+UNION ALL SELECT k, i, seq, score, usage, since, retired OR score >= 3 OR usage >= 50 OR at_s - since >= 3000
+FROM (SELECT e.k, e.i, e.seq, e.at_s, CASE WHEN e.bad THEN f.score + 1 ELSE greatest(0, f.score - 0.5::DOUBLE) END AS score, f.usage + 1 AS usage, f.since, f.retired FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1))
+SELECT k AS session_id, seq, score, usage, NOT retired AS usable FROM f WHERE i > 0"""
+
+_THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, epoch_us(ts) // 1000 // 10000 AS now, event_type AS t, 3000 + event_id % 5000 AS value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 // 10000, event_id) AS i FROM events),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS seq, 0::BIGINT AS until, 0::BIGINT AS decays, 0::BIGINT AS n, 0::BIGINT AS since, 0::BIGINT AS latest, 0::BIGINT AS next_free, -1::BIGINT AS crawl, 0::BIGINT AS now FROM e WHERE i = 1
+UNION ALL SELECT k, i, seq, CASE WHEN bump THEN now + delay ELSE until END, CASE WHEN bump THEN now + 2 * delay ELSE decays END, n,
+CASE t WHEN 'error' THEN CASE WHEN since = 0 THEN now ELSE since END WHEN 'click' THEN since WHEN 'signup' THEN since ELSE 0 END, CASE WHEN t = 'error' THEN now ELSE latest END,
+CASE WHEN t = 'click' AND crawl > 0 THEN now + crawl ELSE next_free END, CASE WHEN t = 'signup' AND crawl < 0 THEN value ELSE crawl END, now
+FROM (SELECT *, least(60000, 2000 * (1::BIGINT << greatest(0, least(n - 1, 20))::INT)) AS delay FROM (SELECT e.k, e.i, e.seq, e.now, e.t, e.value, f.until, f.decays, f.since, f.latest, f.next_free, f.crawl, e.t = 'error' AND e.now >= f.until AS bump,
+CASE WHEN e.t = 'error' AND e.now >= f.until THEN CASE WHEN e.now >= f.decays THEN 1 ELSE f.n + 1 END ELSE f.n END AS n FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1)))
+SELECT k AS domain, seq, n AS n429, until AS backoff_until, greatest(0, greatest(until, next_free) - now) AS wait_ms, since <> 0 AND now - latest <= 900000 AND now - since > 900000 AS stalled FROM f WHERE i > 0"""
+
+_LIFECYCLE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, ['add', 'fetch', 'handle', 'reclaim'][(event_id % 4 + 1)::INT] AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS seq, '' AS state, 0::BIGINT AS fetches, true AS valid FROM e WHERE i = 1
+UNION ALL SELECT k, i, seq, coalesce(goes, state), fetches + (goes = 'in_progress' AND goes IS NOT NULL)::INT, goes IS NOT NULL OR (op = 'add' AND state <> '')
+FROM (SELECT e.k, e.i, e.seq, e.op, f.state, f.fetches, CASE WHEN f.state = '' AND e.op = 'add' THEN 'pending' WHEN f.state = 'pending' AND e.op = 'fetch' THEN 'in_progress' WHEN f.state = 'in_progress' AND e.op = 'handle' THEN 'handled' WHEN f.state = 'in_progress' AND e.op = 'reclaim' THEN 'pending' END AS goes
+FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1))
+SELECT k AS key, seq, state, fetches, valid FROM f WHERE i > 0"""
+
+_SCALE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 8 AS k, event_id AS seq, event_id * 37 % 201 AS current, event_type <> 'error' AS idle, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS seq, 1::BIGINT AS d FROM e WHERE i = 1
+UNION ALL SELECT e.k, e.i, e.seq, CASE WHEN idle AND d < 200 AND current >= floor(d * 0.9::DOUBLE) THEN least(200, d + ceil(d * 0.05::DOUBLE)::BIGINT) WHEN NOT idle AND d > 1 THEN greatest(1, d - ceil(d * 0.05::DOUBLE)::BIGINT) ELSE d END FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1)
+SELECT k AS pool, seq, d AS desired FROM f WHERE i > 0"""
+
+_REUSE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 8 AS k, event_id AS seq, epoch_us(ts) // 1000000 // 8 AS at_s, event_type AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts) // 1000000 // 8, event_id) AS i FROM events),
+f AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS seq, -1::BIGINT AS session, 0::DOUBLE AS score, 0::BIGINT AS usage, 0::BIGINT AS since, true AS retired FROM e WHERE i = 1
+UNION ALL SELECT k, i, seq, session, score, usage, since, t = 'purchase' OR score >= 3 OR usage >= 50
+FROM (SELECT k, i, seq, t, session, since, CASE t WHEN 'purchase' THEN score + 3 WHEN 'error' THEN score + 1 ELSE greatest(0, score - 0.5::DOUBLE) END AS score, usage + (t <> 'purchase')::INT AS usage
+FROM (SELECT e.k, e.i, e.seq, e.t, f.session + fresh::INT AS session, CASE WHEN fresh THEN 0 ELSE f.score END AS score, CASE WHEN fresh THEN 0 ELSE f.usage END AS usage, CASE WHEN fresh THEN e.at_s ELSE f.since END AS since
+FROM (SELECT f.*, e.i AS ei, f.retired OR e.at_s - f.since >= 3000 AS fresh FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1) f JOIN e ON e.k = f.k AND e.i = f.ei)))
+SELECT k AS pool, seq, session, score, usage FROM f WHERE i > 0"""
+
+
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"), F.when(F.col("event_type") == "error", "bad").otherwise("good").alias("op"))
 
 
-@query()
+@query(_SESSION_SQL)
 def session_scores(spark, sf_dir):
     return folds.fold_batch(session_events(spark, sf_dir), "session_id", ["at_s", "seq"], folds.session_step, folds.SESSION_OUT)
 
 
-@query()
+@query(_REUSE_SQL)
+def session_reuse(spark, sf_dir):
+    """One session at a time until it fails; at an eighth of the events' time, so that sessions last some requests."""
+    op = F.when(F.col("event_type") == "purchase", "retire").when(F.col("event_type") == "error", "bad").otherwise("good")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("seq"), F.expr("unix_seconds(cast(ts as timestamp)) div 8").alias("at_s"), op.alias("op"))
+    return folds.fold_batch(e, "pool", ["at_s", "seq"], folds.reuse_step, folds.REUSE_OUT)
+
+
+@query(_THROTTLE_SQL)
 def throttle_states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at_ms"), F.when(F.col("event_type") == "error", "429").when(F.col("event_type") == "click", "fetch").otherwise("ok").alias("event"), F.lit(None).cast("double").alias("value"))
+    """Events at a ten-thousandth of their time, so that back-offs overlap."""
+    kind = F.when(F.col("event_type") == "error", "429").when(F.col("event_type") == "click", "fetch").when(F.col("event_type") == "signup", "delay").otherwise("ok")
+    at = F.expr("unix_micros(cast(ts as timestamp)) div 1000 div 10000")
+    value = F.when(kind == "delay", (3000 + F.col("event_id") % 5000).cast("double"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), at.alias("at_ms"), kind.alias("event"), value.alias("value"))
     return folds.fold_batch(e, "domain", ["at_ms", "seq"], folds.throttle_step, folds.THROTTLE_OUT)
 
 
-@query()
+@query(_LIFECYCLE_SQL)
 def request_lifecycle(spark, sf_dir):
     op = F.element_at(F.array(*map(F.lit, ("add", "fetch", "handle", "reclaim"))), (F.col("event_id") % 4 + 1).cast("int"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"))
     return folds.fold_batch(e, "key", ["seq"], folds.lifecycle_step, folds.LIFECYCLE_OUT)
 
 
-@query()
+@query(_SCALE_SQL)
 def autoscaling(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("seq"), F.lit(200).alias("current"), (F.col("event_type") != "error").alias("idle"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 201).alias("current"), (F.col("event_type") != "error").alias("idle"))
     return folds.fold_batch(e, "pool", ["seq"], folds.autoscale_step, folds.SCALE_OUT)

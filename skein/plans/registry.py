@@ -43,7 +43,7 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def _load() -> None:
-    from skein.plans import crawl_queries, data_queries, text_queries  # noqa: F401
+    from skein.plans import crawl_queries, data_queries, request_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

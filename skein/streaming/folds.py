@@ -86,6 +86,21 @@ def session_step(state: dict | None, e: dict) -> tuple[dict, dict]:
     return s, {"session_id": e["session_id"], "seq": e["seq"], "score": s["score"], "usage": s["usage"], "usable": usable()}
 
 
+REUSE_STATE = "session long, " + SESSION_STATE
+REUSE_OUT = "pool long, seq long, session long, score double, usage long"
+
+
+def reuse_step(state: dict | None, e: dict) -> tuple[dict, dict]:
+    """e(pool, seq, at_s, op good|bad|retire): a pool's requests keep to one session until it can't be used, and then
+    take a new one, numbered from 0. A session that ran out by age is noticed when the next request comes."""
+    s = dict(state) if state else None
+    if s is None or s["retired"] or e["at_s"] - s["since"] >= MAX_AGE_S:
+        s = {"session": s["session"] + 1 if s else 0, "score": 0.0, "usage": 0, "since": float(e["at_s"]), "retired": False}
+    inner, _ = session_step({k: s[k] for k in ("score", "usage", "since", "retired")}, e | {"session_id": 0})
+    s |= inner
+    return s, {"pool": e["pool"], "seq": e["seq"], "session": s["session"], "score": s["score"], "usage": s["usage"]}
+
+
 # Back-off of a domain that answers 429.
 BASE_MS, MOST_MS, STALL_MS = 2000, 60_000, 900_000
 THROTTLE_STATE = "backoff_until long, decays_at long, n429 long, limited_since long, limited_last long, next_free long, crawl_delay long"
