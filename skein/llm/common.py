@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,22 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[p
             at = end
 
 
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the worker gives freed memory back to the system: Spark keeps workers for later tasks,
+    beside which whatever a worker holds on to counts."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than GNU's
+            pass
+
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words, i.e. runs of anything but BLANKS; 0 for null.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import sliced, stored
+from skein.llm.common import settled, sliced, stored
 from skein.llm.wordhash import mixed, word_hashes
 
 SHINGLE, ROWS, BANDS, BITS, LANES = 5, 6, 28, 4, 16
@@ -161,7 +161,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(estimate() >= F.lit(percent / 100 - SLACK))
     near = stored(near.select("a", "b"), "pairs", rows)
     full = near.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_b").join(texts.toDF("a", "text_a"), "a")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "links", rows)
+    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(settled(_confirmer(percent)), "a long, b long").distinct(), "links", rows)
 
 
 def _merged(comps: DataFrame | None, links: DataFrame, rows: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _finer(crowded: DataFrame, whole: DataFrame, marks: DataFrame, percent: int,
     """
     pairs = crowded.select("center", "node").distinct()
     full = pairs.join(whole.toDF("node", "text_n"), "node").join(whole.toDF("center", "text_c"), "center")
-    parts = full.select("center", "node", "text_c", "text_n").mapInArrow(_differences, "center long, node long, size long, elements array<long>")
+    parts = full.select("center", "node", "text_c", "text_n").mapInArrow(settled(_differences), "center long, node long, size long, elements array<long>")
     held = crowded.join(parts.dropDuplicates(["center", "node"]), ["center", "node"])
     most = held.select("bucket", F.explode("elements").alias("e")).groupBy("bucket", "e").count().where("count > 1")
     most = most.join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     none is left. Either way finds all links of a bucket: SMALL decides on the work alone, see _finer.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signatures, SIGNATURE), "signed")
+    signed = stored(texts.mapInArrow(settled(_signatures), SIGNATURE), "signed")
     classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     count = signed.count()
     reps = stored(classes, "classes", count, 50_000)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import sliced, stored
+from skein.llm.common import settled, sliced, stored
 from skein.llm.wordhash import BYTE, PIECE, _hash_block
 
 #: Only letters and bytes from 80 up make words here.
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array([m.keys.view(np.int64)], pa.list_(pa.int64())), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.bias])], names=["keys", "weights", "bias"])
 
     # The bounded sample is fitted in one task, so the driver only holds the model.
-    r = sample.repartition(1).mapInArrow(learn, "keys array<long>, weights array<double>, bias double").first()
+    r = sample.repartition(1).mapInArrow(settled(learn), "keys array<long>, weights array<double>, bias double").first()
     return Model(np.array(r["keys"], np.int64).view(np.uint64), np.array(r["weights"], np.float64), r["bias"])
 
 
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(settled(run), SCORED)
 
 
 def offending_sentences(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -274,7 +274,7 @@ def offending_sentences(docs: DataFrame, model: Model, *, id_col: str = "doc_id"
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, end long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(settled(run), "doc_id long, start long, end long, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -287,4 +287,4 @@ def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", le
             s = scores(model, [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()], table)
             yield batch.filter(pa.array(s < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(settled(run), docs.schema)
