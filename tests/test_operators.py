@@ -1,5 +1,8 @@
 """Behaviour that SQL can't hold: parsers, globs, folds, stores, routers."""
 
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +15,7 @@ from skein.operators import frontier as R
 from skein.operators import predicates as P
 from skein.operators import rendering as D
 from skein.operators.datasets import Dataset, Transaction, export_format, record
+from skein.operators.likeness import alike_counts
 from skein.operators.router import MissingRoute, Router
 from skein.sources import robots as B
 from skein.sources import sitemaps as M
@@ -114,6 +118,33 @@ def test_rendering_features_are_means_over_all_pages(spark):
             assert abs(got - sum(D.similarity(parts(u), v) for v in known) / len(known)) < 1e-9
 
 
+def test_alike_counts_decide_as_jaro_winkler():
+    draw = random.Random(5)
+    for letters, most in (("abc", 7), ("01", 10), ("0123456789", 8), ("aé\U0001d11e\0", 5), ("ab", 20), ("abcdef-", 40), ("ab-", 75)):
+        base = "".join(draw.choice(letters) for _ in range(most))
+        texts = [base[: draw.randint(0, most)] if draw.random() < 0.3 else "".join(draw.choice(letters) for _ in range(draw.randint(0, most))) for _ in range(100)]
+        counts = np.array([[draw.randint(0, 3), 1] for _ in texts])
+        got = alike_counts(texts[:60], texts[20:], counts[20:])
+        for a, g in zip(texts[:60], got.tolist(), strict=True):
+            assert g == sum([n for b, n in zip(texts[20:], counts[20:], strict=True) if D.jaro_winkler(a, b) > 0.8], np.zeros(2, int)).tolist()
+
+
+def test_rendering_in_blocks_is_the_same(spark):
+    rows = [(f"http://{'ab'[i % 2]}.com/{i % 5}/{i * 7919 % 1000}{('', '/', '/x')[i % 5 % 3]}", None if i % 7 == 0 else "L", D.STATIC if i % 3 else D.CLIENT) for i in range(300)]
+    rows += [("http://a.com", "L", D.STATIC), ("no url", "L", D.STATIC), (None, "L", D.CLIENT), ("http://a.com/1/2", "L", "other")]
+    df = spark.createDataFrame(rows, "url string, label string, rendering_type string")
+    whole, blocks = D.train_predictor(df), D.train_predictor(df, block=(7, 11))
+    assert sorted(map(repr, whole.alike.collect())) == sorted(map(repr, blocks.alike.collect())) and whole.weights == blocks.weights
+    # Requests of all sorts, many at once, as one at a time.
+    more = [("http://a.com/1/79/x/y", "L"), ("http://c.com/1/79", "L"), ("http://a.com/1/791", None), ("http://a.com/1", "new"), (None, "L"), ("no url", None), ("http://b.com//", "L"), ("http://b.com//", "L")]
+    asked = spark.createDataFrame([*[r[:2] for r in rows[::40]], *more], "url string, label string")
+    got = D.predict(asked, blocks).collect()
+    assert len(got) == asked.count() and D.predict(asked, D.RenderingModel()).select("rendering_type", "detection_probability").distinct().collect() == [(D.CLIENT, 1.0)]
+    for url, label, kind, chance in got:
+        parts = [url[7:].split("/")[0], "", *url[7:].split("/")[1:]] if url and "//" in url else []
+        assert (kind, chance) == blocks.predict(label, parts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 def test_jaro_winkler(a, b):
