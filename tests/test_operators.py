@@ -118,6 +118,17 @@ def test_rendering_features_are_means_over_all_pages(spark):
             assert abs(got - sum(D.similarity(parts(u), v) for v in known) / len(known)) < 1e-9
 
 
+def test_pages_are_parsed_in_small_parts(spark, monkeypatch):
+    pages = [f"<a href='mailto:a{i}@b.com'>x{i}</a>" + "<p>c@d.org" * (i % 5) for i in range(200)]
+    pages += [None, "", "<p>" + "x" * 5000]
+    whole = H.pa.concat_arrays(H._parts(iter([(H.pa.array(pages), H.pa.nulls(len(pages), "string"))])))
+    monkeypatch.setattr(H, "PART", 1000)
+    parts = list(H._parts(iter([(H.pa.array(pages), H.pa.nulls(len(pages), "string")), (H.pa.array([], "string"), H.pa.array([], "string"))])))
+    assert max(map(len, parts)) < 30 and H.pa.concat_arrays(parts).equals(whole) and len(whole) == len(pages)
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, html string").repartition(3).select("i", H.social_handles("html").alias("s")).collect()
+    assert sorted((r["i"], r["s"]["emails"]) for r in got) == [(i, ([f"a{i}@b.com"] + ["c@d.org"] * (i % 5 > 0)) if i < 200 else []) for i in range(len(pages))]
+
+
 def test_alike_counts_decide_as_jaro_winkler():
     draw = random.Random(5)
     for letters, most in (("abc", 7), ("01", 10), ("0123456789", 8), ("aé\U0001d11e\0", 5), ("ab", 20), ("abcdef-", 40), ("ab-", 75)):
